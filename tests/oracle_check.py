@@ -85,7 +85,7 @@ def main() -> int:
             else:
                 n = f"rows={df.count()}"
         except Exception as e:  # noqa: BLE001
-            n = "ERROR " + str(e)[:1200]
+            n = "ERROR " + str(e)[:500]
         bad += n.startswith(("DIFF", "ERROR"))
         print(f"{time.time()-t:6.1f}s {name}: {n}", flush=True)
     print("failures:", bad)
