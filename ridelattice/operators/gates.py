@@ -44,6 +44,11 @@ def with_gates(features: DataFrame) -> DataFrame:
     return gated.withColumn("eligible", F.size("reasons") == 0)
 
 
+def two_decimals(x: Column) -> Column:
+    """Round a score to two decimals; ties are decided on eight, so floating noise cannot flip them."""
+    return F.round(F.round(x, 8), 2)
+
+
 def normalised(feature: str) -> Column:
     """1 at distance zero, 0 at the limit; similarities pass through."""
     if feature in LIMITS:
@@ -61,13 +66,13 @@ def raw_index(weights: dict[str, float] | None = None) -> Column:
 
 
 def with_score(features: DataFrame) -> DataFrame:
-    return features.withColumn("score", F.round(raw_index(), 2))
+    return features.withColumn("score", two_decimals(raw_index()))
 
 
 def with_legacy_compatibility(gated: DataFrame) -> DataFrame:
     """Older rule: an index below 50 also rejects, and a rejected pair scores 0."""
     ok = F.col("eligible") & (raw_index() >= INDEX_THRESHOLD)
-    return gated.withColumn("compatible", ok).withColumn("legacy_score", F.when(ok, F.round(raw_index(), 2)).otherwise(0.0))
+    return gated.withColumn("compatible", ok).withColumn("legacy_score", F.when(ok, two_decimals(raw_index())).otherwise(0.0))
 
 
 def explanations(gated: DataFrame) -> DataFrame:

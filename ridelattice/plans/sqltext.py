@@ -84,5 +84,5 @@ def scored(*more: str) -> str:
     return (
         with_clause("riders", "drivers", *more) + ", " + journeys_join(2, 3, 30) + ", " + FEATURES + ", " + similarity() + ", "
         "feat AS (SELECT feat0.*, route_sim FROM feat0 JOIN sim USING (driver_id, rider_id)), " + GATED.format(src="feat")
-        + f", scored AS (SELECT *, {RAW} AS raw, round({RAW}, 2) AS score FROM gated)"
+        + f", scored AS (SELECT *, {RAW} AS raw, CAST(round(CAST({RAW} AS DECIMAL(20,8)), 2) AS DOUBLE) AS score FROM gated)"
     )
