@@ -138,18 +138,18 @@ def with_scorers(report: DataFrame, km_scale: float = 1.0, s_scale: float = 1.0)
     speed = F.when(c("_vs") > 0, c("_vk") / (c("_vs") / 3600.0)).otherwise(30.0)
     close = c("reachable") & (c("_rp") <= 1.0 * k)
     network = F.when(c("network_eligible") & c("reachable"), two_decimals(100.0 * (
-        0.25 * _share(c("_rp"), 1.0 * k) + 0.20 * _share(c("_rd"), 1.5 * k) + 0.25 * _share(c("_ds"), 240.0 * s_scale) + 0.15 * c("_dir") + 0.15 * time)).otherwise(0.0)
+        0.25 * _share(c("_rp"), 1.0 * k) + 0.20 * _share(c("_rd"), 1.5 * k) + 0.25 * _share(c("_ds"), 240.0 * s_scale) + 0.15 * c("_dir") + 0.15 * time))).otherwise(0.0)
     scores = {
         "a_geometric": F.when(c("geometric_eligible"), two_decimals(100.0 * (
-            0.35 * _share(c("_p"), 1.0 * k) + 0.25 * _share(c("_d"), 1.5 * k) + 0.25 * _share(c("_g"), 1.5 * k) + 0.15 * time)).otherwise(0.0),
+            0.35 * _share(c("_p"), 1.0 * k) + 0.25 * _share(c("_d"), 1.5 * k) + 0.25 * _share(c("_g"), 1.5 * k) + 0.15 * time))).otherwise(0.0),
         "b_route_time": F.when(c("geometric_eligible"), two_decimals(100.0 * (
             0.25 * _share(c("_p"), 2.0 * k) + 0.20 * _share(c("_d"), 3.0 * k) + 0.25 * F.round("route_sim", 4) + 0.10 * c("_dir")
-            + 0.10 * _share(c("_g"), 5.0 * k) + 0.10 * time)).otherwise(0.0),
+            + 0.10 * _share(c("_g"), 5.0 * k) + 0.10 * time))).otherwise(0.0),
         "c_network": network,
-        "abl_geometry": F.when(c("geometric_eligible"), two_decimals(100.0 * (0.50 * _share(c("_p"), 1.0 * k) + 0.50 * _share(c("_g"), 1.5 * k))).otherwise(0.0),
-        "abl_net_distance": F.when(close, two_decimals(100.0 * (0.50 * _share(c("_rp"), 1.0 * k) + 0.50 * _share(c("_g"), 1.5 * k))).otherwise(0.0),
+        "abl_geometry": F.when(c("geometric_eligible"), two_decimals(100.0 * (0.50 * _share(c("_p"), 1.0 * k) + 0.50 * _share(c("_g"), 1.5 * k)))).otherwise(0.0),
+        "abl_net_distance": F.when(close, two_decimals(100.0 * (0.50 * _share(c("_rp"), 1.0 * k) + 0.50 * _share(c("_g"), 1.5 * k)))).otherwise(0.0),
         "abl_net_time": F.when(close, two_decimals(100.0 * (
-            0.40 * _share(c("_rp"), 1.0 * k) + 0.40 * _share(c("_g"), 1.5 * k) + 0.20 * F.least(F.lit(1.0), speed / 40.0))).otherwise(0.0),
+            0.40 * _share(c("_rp"), 1.0 * k) + 0.40 * _share(c("_g"), 1.5 * k) + 0.20 * F.least(F.lit(1.0), speed / 40.0)))).otherwise(0.0),
         "abl_full": network,
     }
     return r.withColumns(scores).drop("_p", "_d", "_g", "_dir", "_t", "_rp", "_rd", "_ds", "_vk", "_vs")
