@@ -81,6 +81,14 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
         "CAST(floor(c_custkey/375e0) AS BIGINT)*25 + ((c_custkey*c_custkey) % 10007 + c_custkey*17) % 25 AS o_node, "
         "CAST(floor(c_custkey/375e0) AS BIGINT)*25 + ((c_custkey*c_custkey) % 10007 + c_custkey*17 + 1 + c_custkey % 24) % 25 AS d_node, "
         "CAST((c_custkey*53) % 3600 AS BIGINT) AS dep_s FROM {customer}")),
+    # riders accepted by a driver in id order while its seats last: never more riders than seats
+    "cohorts": (("net_riders", "net_drivers"), (
+        "SELECT driver_id, capacity, v_o, v_d, rider_id, r_o, r_d, seats, dep_s FROM (SELECT v.driver_id, v.capacity, v.o_node AS v_o, v.d_node AS v_d, "
+        "r.rider_id, r.o_node AS r_o, r.d_node AS r_d, r.seats, v.dep_s, sum(r.seats) OVER (PARTITION BY v.driver_id ORDER BY r.rider_id) AS used "
+        f"FROM net_riders r JOIN net_drivers v ON v.driver_id = r.town*375 + ({_h('r.rider_id', 31, 375)})) t WHERE used <= capacity")),
+    # planned edges of a trip that drives east to the end of its street
+    "trip_edges": (("net_riders",), " UNION ALL ".join(
+        f"SELECT rider_id AS trip_id, CAST({i} AS BIGINT) AS seq, o_node + {i} AS u, o_node + {i + 1} AS v, dep_s FROM net_riders WHERE o_node % 5 + {i} < 4" for i in range(4))),
     # three incidents per town, on the dep_s clock, half-open interval
     "incidents": (("nodes",), (
         "SELECT town*3 + 0 AS incident_id, town*25 + 6 AS u, town*25 + 7 AS v, CAST(0 AS BIGINT) AS t_start, "
