@@ -237,3 +237,21 @@ def route_hash(*numbers: Column) -> Column:
     """First 12 hex digits of the MD5 over coordinates written with two decimals."""
     text = F.concat_ws("_", *[(F.round(n * 100.0) / 100.0).cast("decimal(9,2)").cast("string") for n in numbers])
     return F.substring(F.md5(text), 1, 12)
+
+
+def position_at(route: Column, progress: Column) -> Column:
+    """Point and bearing at a share 0..1 of a polyline: ``STRUCT<lat, lon, bearing>``."""
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), progress))
+    raw = F.transform(_legs(route), lambda e: F.struct(
+        e["a"].alias("a"), e["b"].alias("b"), haversine_km(e["a"]["lat"], e["a"]["lon"], e["b"]["lat"], e["b"]["lon"]).alias("len")))
+    legs = F.transform(raw, lambda e, i: F.struct(
+        e["a"].alias("a"), e["b"].alias("b"), e["len"].alias("len"),
+        F.aggregate(F.slice(raw, F.lit(1), i), F.lit(0.0), lambda acc, x: acc + x["len"]).alias("before")))
+    last = F.element_at(legs, -1)
+    target = t * (last["before"] + last["len"])
+    leg = F.coalesce(F.get(F.filter(legs, lambda e: target <= e["before"] + e["len"]), F.lit(0)), last)
+    share = F.when(leg["len"] > 0, (target - leg["before"]) / leg["len"]).otherwise(0.0)
+    return F.struct(
+        (leg["a"]["lat"] + (leg["b"]["lat"] - leg["a"]["lat"]) * share).alias("lat"),
+        (leg["a"]["lon"] + (leg["b"]["lon"] - leg["a"]["lon"]) * share).alias("lon"),
+        bearing_deg(leg["a"]["lat"], leg["a"]["lon"], leg["b"]["lat"], leg["b"]["lon"]).alias("bearing"))
