@@ -58,31 +58,39 @@ def snap(points: DataFrame, nodes: DataFrame, key: str, lat: str, lon: str, limi
 
 def od_costs(
     edges: DataFrame, sources: DataFrame, weight: str = "secs", max_cost: float | None = None, max_rounds: int = 500, variant: str | None = None,
+    hops_per_round: int = 3,
 ) -> DataFrame:
     """Cheapest route from every source: ``(src, dst, km, s, hops, pred)``.
 
     ``variant`` names a column of both inputs (a scenario or time slot): one run
     then solves all variants side by side and the result carries the column.
 
-    Only labels that changed in the last round form the next frontier; union and
-    ``min(struct)`` keep the best label, so a round shuffles labels once.
+    Only labels that changed in the last round form the next frontier. A round walks
+    a few edges ahead before labels are shuffled and reduced with ``min(struct)``;
+    the labels of its last step that survive are the next frontier, all others have
+    been expanded already.
     """
     vs = [variant] if variant else []
     e = edges.select(*vs, F.col("u").alias("_u"), F.col("v").alias("_v"), F.col("km").alias("_km"), F.col("secs").alias("_s"), F.col(weight).alias("_w"))
+    e = cut_lineage(e)  # read in every round
     label = F.struct("cost", "km", "s", "hops", "pred", "round")
     labels = sources.select(*vs, F.col("node").alias("src"), F.col("node").alias("dst")).distinct().withColumns({
         "cost": F.lit(0.0), "km": F.lit(0.0), "s": F.lit(0.0), "hops": F.lit(0), "pred": F.lit(None).cast("bigint"), "round": F.lit(0),
     })
     frontier = labels
     for i in range(1, max_rounds + 1):
-        step = frontier.withColumnRenamed("dst", "_u").join(e, [*vs, "_u"]).select(
-            *vs, "src", F.col("_v").alias("dst"), (F.col("cost") + F.col("_w")).alias("cost"), (F.col("km") + F.col("_km")).alias("km"),
-            (F.col("s") + F.col("_s")).alias("s"), (F.col("hops") + 1).alias("hops"), F.col("_u").cast("bigint").alias("pred"), F.lit(i).alias("round"))
-        if max_cost is not None:
-            step = step.filter(F.col("cost") <= max_cost)
-        labels = cut_lineage(
-            labels.unionByName(step).groupBy(*vs, "src", "dst").agg(F.min(label).alias("l")).select(*vs, "src", "dst", "l.*"))
-        frontier = labels.filter(F.col("round") == i)
+        found, step = labels, frontier
+        for j in range(hops_per_round):
+            last = i * hops_per_round + j
+            step = step.withColumnRenamed("dst", "_u").join(e, [*vs, "_u"]).filter(~F.equal_null(F.col("pred"), F.col("_v")))
+            step = step.select(
+                *vs, "src", F.col("_v").alias("dst"), (F.col("cost") + F.col("_w")).alias("cost"), (F.col("km") + F.col("_km")).alias("km"),
+                (F.col("s") + F.col("_s")).alias("s"), (F.col("hops") + 1).alias("hops"), F.col("_u").cast("bigint").alias("pred"), F.lit(last).alias("round"))
+            if max_cost is not None:
+                step = step.filter(F.col("cost") <= max_cost)
+            found = found.unionByName(step)
+        labels = cut_lineage(found.groupBy(*vs, "src", "dst").agg(F.min(label).alias("l")).select(*vs, "src", "dst", "l.*"))
+        frontier = labels.filter(F.col("round") == last)
         if frontier.isEmpty():
             return labels.select(*vs, "src", "dst", F.round("km", 4).alias("km"), F.round("s", 2).alias("s"), "hops", "pred")
     raise RuntimeError("relaxation did not settle; raise max_rounds")
@@ -142,7 +150,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
     Each round takes the smallest neighbouring label and then jumps to that
     label's own label, so chains shrink quickly.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    both = cut_lineage(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
     for _ in range(max_rounds):
         offered = both.join(labels, F.col("u") == F.col("node")).select(F.col("v").alias("node"), "component")
@@ -218,6 +226,9 @@ def earliest_arrival(
     minimum; the loop ends when a round changes nothing.
     """
     e = edges.select("u", "v", F.col("km").alias("_km"), F.col("secs").alias("_s"), congestion.edge_direction(F.col("u_name"), F.col("v_name")).alias("_dir"))
+    e = cut_lineage(e)
+    if incidents is not None:
+        incidents = cut_lineage(incidents)
     base = starts.select(F.col("node").alias("src"), F.col("depart_s").cast("double").alias("depart_s")).distinct()
     base = base.select("src", "depart_s", F.col("src").alias("dst"), F.col("depart_s").alias("arrive_s"), F.lit(0.0).alias("km"), F.lit(0.0).alias("ff_s"))
     base = cut_lineage(base)

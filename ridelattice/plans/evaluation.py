@@ -9,7 +9,7 @@ from ridelattice.operators import evaluate, gates, network, pairs, pruning, rank
 from ridelattice.plans import sqltext as q
 from ridelattice.plans.matching import standard_scored
 from ridelattice.plans.network import (
-    _KEPT_SQL, _ROADS, _SCORES_SQL, CONGESTED_SQL, THRESHOLDS, _report_sql, congested_pairs, kept, once, report, report_scores, road_pairs,
+    _KEPT_SQL, _ROADS, _SCORES_SQL, CONGESTED_SQL, THRESHOLDS, _report_sql, congested_pairs, kept, once, report, report_scores, road_batch,
 )
 from ridelattice.functions import congestion
 from ridelattice.plans.registry import query
@@ -165,7 +165,7 @@ _SWEEP = (("loose", 11.5, 11.5, 40.0, 25.0), ("moderate", 11.5, 11.5, 30.0, 20.0
   round(100e0*count(*) FILTER (NOT keep)/count(*), 2) AS pruned_pct FROM (SELECT level, feasible, dep_diff_min <= tm AND pickup_km <= pk AND dest_km <= ds
   AND greatest(0e0, pickup_km + shared_km + dest_km - driver_road_km) <= dt AS keep FROM kept CROSS JOIN (VALUES {', '.join(f"('{n}', {a}e0, {b}e0, {c}e0, {d}e0)" for n, a, b, c, d in _SWEEP)}) s(level, pk, ds, dt, tm)) t GROUP BY level""")
 def e7(spark, sf):
-    p = pruning.tier2(road_pairs(spark, sf), THRESHOLDS)
+    p = pruning.tier2(road_batch(spark, sf), THRESHOLDS)
     flags = F.array(*[
         F.struct(F.lit(n).alias("level"), pruning.pruner("admissible_bound", {"pickup_km": a, "dest_km": b, "detour_km": c, "time_diff_min": d}).alias("keep"))
         for n, a, b, c, d in _SWEEP])
@@ -202,7 +202,7 @@ def e8(spark, sf):
     e = e.withColumn("secs", congestion.link_seconds(F.col("secs"), 8.5 + F.col("variant") / 60.0, F.col("_dir"), "moderate_congestion"))
     s = fixture(spark, sf, "nodes").select("node", F.explode(F.array(*[F.lit(o) for o in OFFSETS])).alias("variant"))
     table = network.od_costs(e, s, variant="variant")
-    p = road_pairs(spark, sf).select("rider_id", "driver_id", "v_o_node", "v_d_node", "r_o_node", "r_d_node", "road_pickup_km", "dep_diff_min", "direction_sim")
+    p = road_batch(spark, sf).select("rider_id", "driver_id", "v_o_node", "v_d_node", "r_o_node", "r_d_node", "road_pickup_km", "dep_diff_min", "direction_sim")
     p = p.withColumn("variant", F.explode(F.array(*[F.lit(o) for o in OFFSETS])))
     p = network.with_road_detour(p, table, "v_o_node", "v_d_node", "r_o_node", "r_d_node", variant="variant")
     p = p.withColumns({"dynamic_detour_km": F.col("detour_km"), "dynamic_detour_s": F.col("detour_s")})

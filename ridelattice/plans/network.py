@@ -65,6 +65,11 @@ def road_pairs(spark, sf) -> DataFrame:
     })
 
 
+def road_batch(spark, sf) -> DataFrame:
+    """Road pairs written once, for jobs that read them several times."""
+    return once(spark, sf, "road_pairs", lambda: cut_lineage(road_pairs(spark, sf)))
+
+
 def bellman_ford(edges: str, rounds: int = 12, out: str = "od", p: str = "l") -> str:
     """Unrolled relaxation in plain SQL."""
     parts = [f"{p}0 AS MATERIALIZED (SELECT node AS src, node AS dst, 0e0 AS km, 0e0 AS s FROM nodes)"]
@@ -190,7 +195,7 @@ def calibration(roads: DataFrame) -> DataFrame:
 
 @query("r7_circuity_calibration", _ROADS + ", " + _CAL + " SELECT n, mean_c, max_c, min_c, p95_c FROM cal")
 def r7(spark, sf):
-    return calibration(road_pairs(spark, sf))
+    return calibration(road_batch(spark, sf))
 
 
 @query("r8_circuity_report", _NET + ", " + _OD + f""", pt AS (SELECT a.town, round(o.km/h, 3) AS circuity, round(o.km, 4) AS road, round(h, 4) AS euc FROM (
@@ -244,7 +249,7 @@ def r9(spark, sf):
     trips = r.groupBy("town").agg(
         F.count(F.lit(1)).alias("trips"), F.round(F.avg(F.col("t_km") / h), 2).alias("mean_circuity"), F.round(F.avg("t_s"), 1).alias("mean_travel_s"),
         F.round(F.avg(F.col("t_km") / (F.col("t_s") / 3600.0)), 1).alias("mean_speed_kmh"))
-    p = road_pairs(spark, sf).filter(F.col("detour_km").isNotNull())
+    p = road_batch(spark, sf).filter(F.col("detour_km").isNotNull())
     wrong = (F.col("geo_detour_km") <= 4.0) & (F.col("detour_km") > 4.0)
     pool = p.groupBy(F.col("r_town").alias("town")).agg(
         F.round(F.count_if(wrong) * 100.0 / F.count(F.lit(1)), 1).alias("false_positive_pct"),
@@ -364,7 +369,7 @@ def chained_detours(spark, sf, p: DataFrame, scenario: str) -> DataFrame:
 def tight_pairs(spark, sf) -> DataFrame:
     """Net pairs a routing pass is worth running for: admissible bound with tight limits."""
     t = {"pickup_km": 1.0, "dest_km": 11.5, "detour_km": 15.0, "time_diff_min": 10.0}
-    p = road_pairs(spark, sf).filter(pruning.pruner("admissible_bound", t)).filter(F.col("direction_sim") >= pruning.MIN_DIRECTION)
+    p = road_batch(spark, sf).filter(pruning.pruner("admissible_bound", t)).filter(F.col("direction_sim") >= pruning.MIN_DIRECTION)
     return p.select("driver_id", "rider_id", "v_dep_s", "v_o_node", "v_d_node", "r_o_node", "r_d_node")
 
 
@@ -414,7 +419,7 @@ def j4(spark, sf):
 
 def kept(spark, sf) -> DataFrame:
     """Road pairs with one keep flag per pruner and the tier-2 outcome."""
-    p = road_pairs(spark, sf)
+    p = road_batch(spark, sf)
     p95 = calibration(p).select("p95_c").scalar()
     flags = {f"keep_{m}": pruning.pruner(m, THRESHOLDS, p95) for m in pruning.METHODS}
     return pruning.tier2(p, THRESHOLDS).withColumns(flags)
@@ -456,7 +461,7 @@ def _report_sql() -> str:
 
 
 def report(spark, sf) -> DataFrame:
-    return pruning.network_report(road_pairs(spark, sf), KM_SCALE, S_SCALE)
+    return pruning.network_report(road_batch(spark, sf), KM_SCALE, S_SCALE)
 
 
 @query("j16_network_gates", _ROADS + ", " + _report_sql() + """ SELECT driver_id, rider_id, reachable, geometric_eligible, network_eligible, relevance, pickup_circuity, route_circuity FROM rep""")
@@ -509,7 +514,7 @@ _CONG_OD = f"sev_edges AS (SELECT u, v, km, secs*least(5e0, greatest(1e0, 1e0 +
 
 def congested_pairs(spark, sf) -> DataFrame:
     """Road pairs with static and congested detours and both scores."""
-    p = road_pairs(spark, sf).withColumns({"static_detour_km": F.col("detour_km"), "static_detour_s": F.col("detour_s")})
+    p = road_batch(spark, sf).withColumns({"static_detour_km": F.col("detour_km"), "static_detour_s": F.col("detour_s")})
     p = p.drop("direct_km", "direct_s", "pick_km", "pick_s", "ride_km", "ride_s", "last_km", "last_s", "detour_km", "detour_s", "pooled_km", "pooled_s", "duration_ratio")
     p = network.with_road_detour(p, congested_od(spark, sf), "v_o_node", "v_d_node", "r_o_node", "r_d_node")
     p = p.withColumns({"dynamic_detour_km": F.col("detour_km"), "dynamic_detour_s": F.col("detour_s")})

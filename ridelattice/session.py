@@ -8,6 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# The JVM never compiles methods above this bytecode size; a generated stage beyond
+# it runs interpreted. Below it Spark falls back to split projections, which compile.
+HUGE_METHOD_LIMIT = 8000
+
+
+def tune(spark: SparkSession) -> None:
+    """Settings the wide geometry expressions need, where the session still has the defaults."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(HUGE_METHOD_LIMIT))
+
+
 def local_session(app: str = "ridelattice", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and single-node benchmarks; clusters bring their own."""
     return (
@@ -16,6 +27,7 @@ def local_session(app: str = "ridelattice", cpus: int | str = "*", partitions: i
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16KB")
+        .config("spark.sql.codegen.hugeMethodLimit", str(HUGE_METHOD_LIMIT))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
