@@ -178,46 +178,49 @@ def _covered_share(df: DataFrame, x: str, y: str, tol: float, out: str) -> DataF
     return df.withColumn(out, F.when(c("_lo") <= c("_hi"), F.greatest(hits, F.lit(0)) / c("_n")).otherwise(F.lit(0.0)))
 
 
-def route_similarity(route_a: Column, route_b: Column, tolerance_km: float = 0.5) -> Column:
-    """Overlap of two polylines (``ARRAY<STRUCT<lat,lon>>``), sampled by arc length."""
-    both = F.concat(route_a, route_b)
-    lats, lons = F.transform(both, lambda p: p["lat"]), F.transform(both, lambda p: p["lon"])
-    lat0 = (F.array_min(lats) + F.array_max(lats)) / 2
-    lon0 = (F.array_min(lons) + F.array_max(lons)) / 2
-    k = F.cos(F.radians(lat0))
-
-    def project(route: Column) -> Column:
+def with_route_similarity(df: DataFrame, a: str, b: str, tolerance_km: float = 0.5, out: str = "route_sim") -> DataFrame:
+    """Overlap of two polylines (``ARRAY<STRUCT<lat,lon>>`` columns), sampled by arc length.
+
+    Intermediate arrays are columns of their own, so that no sample recomputes them.
+    """
+    keep = df.columns
+    lat, lon = (lambda p: p["lat"]), (lambda p: p["lon"])
+    lo = lambda f: F.least(F.array_min(F.transform(a, f)), F.array_min(F.transform(b, f)))
+    hi = lambda f: F.greatest(F.array_max(F.transform(a, f)), F.array_max(F.transform(b, f)))
+    df = df.withColumns({"_lat0": (lo(lat) + hi(lat)) / 2, "_lon0": (lo(lon) + hi(lon)) / 2}).withColumn("_k", F.cos(F.radians("_lat0")))
+
+    def plane(route: str) -> Column:
         return F.transform(route, lambda p: F.struct(
-            (F.lit(EARTH_RADIUS_KM) * F.radians(p["lon"] - lon0) * k).alias("x"),
-            (F.lit(EARTH_RADIUS_KM) * F.radians(p["lat"] - lat0)).alias("y")))
-
-    def segments(line: Column) -> Column:
-        """Segments with the arc length passed before each one."""
-        raw = F.zip_with(
-            F.slice(line, F.lit(1), F.size(line) - 1), F.slice(line, F.lit(2), F.size(line) - 1),
-            lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("len")))
-        return F.transform(raw, lambda s, i: F.struct(
-            s["a"].alias("a"), s["b"].alias("b"), s["len"].alias("len"),
-            F.aggregate(F.slice(raw, F.lit(1), i), F.lit(0.0), lambda acc, t: acc + t["len"]).alias("before")))
-
-    def share(x: Column, y: Column) -> Column:
-        last = F.element_at(x, -1)
-        total = last["before"] + last["len"]
-        n = F.least(F.lit(MAX_SAMPLES), F.greatest(F.lit(2), F.ceil(total / SAMPLE_SPACING_KM).cast("int") + 1))
-
-        def near(i: Column) -> Column:
-            target = total * i / (n - 1)
-            hit = F.filter(x, lambda s: (s["len"] > 0) & (s["before"] + s["len"] >= target))
-            seg = F.coalesce(F.get(hit, F.lit(0)), last)
-            t = F.when(seg["len"] > 0, (target - seg["before"]) / seg["len"]).otherwise(0.0)
-            px, py = seg["a"]["x"] + t * (seg["b"]["x"] - seg["a"]["x"]), seg["a"]["y"] + t * (seg["b"]["y"] - seg["a"]["y"])
-            return F.exists(y, lambda s: _point_segment(px, py, s) <= tolerance_km + 1e-10)
-
-        marks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(near(i), 1).otherwise(0))
-        return F.aggregate(marks, F.lit(0), lambda acc, m: acc + m) / n
-
-    sa, sb = segments(project(route_a)), segments(project(route_b))
-    return (share(sa, sb) + share(sb, sa)) / 2
+            (F.lit(EARTH_RADIUS_KM) * F.radians(p["lon"] - F.col("_lon0")) * F.col("_k")).alias("x"),
+            (F.lit(EARTH_RADIUS_KM) * F.radians(p["lat"] - F.col("_lat0"))).alias("y")))
+
+    df = df.withColumns({"_pa": plane(a), "_pb": plane(b)})
+    pairs = lambda line: F.zip_with(
+        F.slice(line, F.lit(1), F.size(line) - 1), F.slice(line, F.lit(2), F.size(line) - 1),
+        lambda u, v: F.struct(u.alias("a"), v.alias("b"), F.hypot(v["x"] - u["x"], v["y"] - u["y"]).alias("len")))
+    df = df.withColumns({"_ra": pairs("_pa"), "_rb": pairs("_pb")})
+    passed = lambda raw: F.transform(raw, lambda g, i: F.struct(
+        g["a"].alias("a"), g["b"].alias("b"), g["len"].alias("len"),
+        F.aggregate(F.slice(raw, F.lit(1), i), F.lit(0.0), lambda acc, t: acc + t["len"]).alias("before")))
+    df = df.withColumns({"_sa": passed("_ra"), "_sb": passed("_rb")})
+    end = lambda c: F.element_at(c, -1)
+    df = df.withColumns({f"_t{x}": end(f"_s{x}")["before"] + end(f"_s{x}")["len"] for x in "ab"})
+    df = df.withColumns({
+        f"_n{x}": F.least(F.lit(MAX_SAMPLES), F.greatest(F.lit(2), F.ceil(F.col(f"_t{x}") / SAMPLE_SPACING_KM).cast("int") + 1)) for x in "ab"})
+    # the sample points first, then the test of each point against the other line
+    for x in "ab":
+        step = F.col(f"_t{x}") / (F.col(f"_n{x}") - 1)
+        at = F.transform(F.sequence(F.lit(0), F.col(f"_n{x}") - 1), lambda i: F.struct(
+            (step * i).alias("t"), F.coalesce(F.get(F.filter(f"_s{x}", lambda g: (g["len"] > 0) & (g["before"] + g["len"] >= step * i)), F.lit(0)), end(f"_s{x}")).alias("g")))
+        df = df.withColumn(f"_at{x}", at)
+        share = lambda m: F.when(m["g"]["len"] > 0, (m["t"] - m["g"]["before"]) / m["g"]["len"]).otherwise(0.0)
+        df = df.withColumn(f"_pt{x}", F.transform(f"_at{x}", lambda m: F.struct(
+            (m["g"]["a"]["x"] + share(m) * (m["g"]["b"]["x"] - m["g"]["a"]["x"])).alias("x"),
+            (m["g"]["a"]["y"] + share(m) * (m["g"]["b"]["y"] - m["g"]["a"]["y"])).alias("y"))))
+    for x, y in (("a", "b"), ("b", "a")):
+        near = F.filter(f"_pt{x}", lambda p: F.exists(f"_s{y}", lambda g: _point_segment(p["x"], p["y"], g) <= tolerance_km + 1e-10))
+        df = df.withColumn(f"_f{x}", F.size(near) / F.col(f"_n{x}"))
+    return df.withColumn(out, (F.col("_fa") + F.col("_fb")) / 2).select(*keep, out)
 
 
 def _point_segment(px: Column, py: Column, s: Column) -> Column:
@@ -239,19 +242,22 @@ def route_hash(*numbers: Column) -> Column:
     return F.substring(F.md5(text), 1, 12)
 
 
-def position_at(route: Column, progress: Column) -> Column:
+def with_position(df: DataFrame, route: str, progress: Column, out: str = "position") -> DataFrame:
     """Point and bearing at a share 0..1 of a polyline: ``STRUCT<lat, lon, bearing>``."""
+    keep = df.columns
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), progress))
-    raw = F.transform(_legs(route), lambda e: F.struct(
-        e["a"].alias("a"), e["b"].alias("b"), haversine_km(e["a"]["lat"], e["a"]["lon"], e["b"]["lat"], e["b"]["lon"]).alias("len")))
-    legs = F.transform(raw, lambda e, i: F.struct(
+    df = df.withColumn("_raw", F.transform(_legs(F.col(route)), lambda e: F.struct(
+        e["a"].alias("a"), e["b"].alias("b"), haversine_km(e["a"]["lat"], e["a"]["lon"], e["b"]["lat"], e["b"]["lon"]).alias("len"))))
+    df = df.withColumn("_legs", F.transform("_raw", lambda e, i: F.struct(
         e["a"].alias("a"), e["b"].alias("b"), e["len"].alias("len"),
-        F.aggregate(F.slice(raw, F.lit(1), i), F.lit(0.0), lambda acc, x: acc + x["len"]).alias("before")))
-    last = F.element_at(legs, -1)
-    target = t * (last["before"] + last["len"])
-    leg = F.coalesce(F.get(F.filter(legs, lambda e: target <= e["before"] + e["len"]), F.lit(0)), last)
-    share = F.when(leg["len"] > 0, (target - leg["before"]) / leg["len"]).otherwise(0.0)
-    return F.struct(
-        (leg["a"]["lat"] + (leg["b"]["lat"] - leg["a"]["lat"]) * share).alias("lat"),
-        (leg["a"]["lon"] + (leg["b"]["lon"] - leg["a"]["lon"]) * share).alias("lon"),
+        F.aggregate(F.slice("_raw", F.lit(1), i), F.lit(0.0), lambda acc, x: acc + x["len"]).alias("before"))))
+    last = F.element_at("_legs", -1)
+    df = df.withColumn("_target", t * (last["before"] + last["len"]))
+    df = df.withColumn("_leg", F.coalesce(F.get(F.filter("_legs", lambda e: F.col("_target") <= e["before"] + e["len"]), F.lit(0)), last))
+    leg = F.col("_leg")
+    df = df.withColumn("_share", F.when(leg["len"] > 0, (F.col("_target") - leg["before"]) / leg["len"]).otherwise(0.0))
+    point = F.struct(
+        (leg["a"]["lat"] + (leg["b"]["lat"] - leg["a"]["lat"]) * F.col("_share")).alias("lat"),
+        (leg["a"]["lon"] + (leg["b"]["lon"] - leg["a"]["lon"]) * F.col("_share")).alias("lon"),
         bearing_deg(leg["a"]["lat"], leg["a"]["lon"], leg["b"]["lat"], leg["b"]["lon"]).alias("bearing"))
+    return df.withColumn(out, point).select(*keep, out)

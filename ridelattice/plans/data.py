@@ -163,7 +163,7 @@ def v3(spark, sf):
   round((degrees(CASE WHEN first THEN {q.bearing('o_lat', 'o_lon', 'm_lat', 'm_lon')} ELSE {q.bearing('m_lat', 'm_lon', 'd_lat', 'd_lon')} END) + 360e0) % 360e0, 5) AS bearing FROM p""")
 def g6(spark, sf):
     d = bent_routes(spark, sf).withColumn("t", ((F.col("driver_id") * 37) % 101) / 100.0)
-    return d.select("driver_id", geo.position_at(F.col("route"), F.col("t")).alias("p")).select(
+    return geo.with_position(d, "route", F.col("t"), "p").select(
         "driver_id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"), F.round("p.bearing", 5).alias("bearing"))
 
 
