@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelattice.operators.gates import LIMITS, WEIGHTS, normalised
+from ridelattice.operators.gates import WEIGHTS, normalised
 
 # Fixed values
 BASELINES = ("seeded_random", "nearest_neighbour", "distance_destination", "route_time")
@@ -66,4 +66,4 @@ def ablated_rankings(eligible: DataFrame, k: int = 3) -> DataFrame:
     return top_k(long, k, ["rider_id", "configuration"], [F.desc(F.round("ablated_score", 9)), F.col("driver_id")])
 
 
-__all__ = ["BASELINES", "ABLATIONS", "LIMITS", "top_k", "rank_eligible", "baseline_rankings", "ablated_rankings", "ablation_weights"]
+__all__ = ["BASELINES", "ABLATIONS", "top_k", "rank_eligible", "baseline_rankings", "ablated_rankings", "ablation_weights"]

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelattice.functions import geo
-from ridelattice.operators import evaluate, gates, learn
-from ridelattice.operators.recourse import hashed_uniform
+from ridelattice.operators import evaluate, learn
 from ridelattice.plans import sqltext as q
-from ridelattice.plans.evaluation import _METRIC_COLS, _REL, labelled
-from ridelattice.plans.matching import _BEND, bent_routes, pool_gated
+from ridelattice.plans.evaluation import _REL, labelled
+from ridelattice.plans.matching import _BEND, bent_routes
 from ridelattice.plans.network import once
 from ridelattice.plans.registry import query
 from ridelattice.sources import readers, synthetic, validate

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelattice.functions import geo
-from ridelattice.operators import assign, dispatch, gates, network, pairs, pool, recourse
+from ridelattice.operators import assign, dispatch, network, pool, recourse
 from ridelattice.plans import sqltext as q
 from ridelattice.plans.matching import standard_scored
-from ridelattice.plans.network import _CONG_OD, _NET, _OD, congested_od, od, once
+from ridelattice.plans.network import _CONG_OD, _OD, congested_od, od, once
 from ridelattice.plans.registry import query
 from ridelattice.session import cut_lineage
 from ridelattice.sources.fixtures import fixture, with_clause
@@ -220,14 +219,10 @@ def p1(spark, sf):
 @query("p2_evaluate_orders", _SUBSETS + ", " + _OD + ", " + _pool_sql() + """ SELECT pool_id, order_no, k, round(km, 4) AS km, round(s, 1) AS s, round(CASE WHEN dk IS NOT NULL AND km IS NOT NULL THEN detour_km END, 4) AS detour_km,
   feasible, top AS max_load, objective FROM pe WHERE k <= capacity""")
 def p2(spark, sf):
-    e = pool.evaluate_orders(pool.with_leg_costs(cohort_pools(spark, sf, 2), _od_with_self(spark, sf)), POOL_LIMITS, 2)
+    e = pool.evaluate_orders(pool.with_leg_costs(cohort_pools(spark, sf, 2), od(spark, sf)), POOL_LIMITS, 2)
     return e.select("pool_id", "order_no", "k", F.round("km", 4).alias("km"), F.round("s", 1).alias("s"), F.round("detour_km", 4).alias("detour_km"), "feasible", "max_load", "objective")
 
 
-def _od_with_self(spark, sf):
-    return od(spark, sf)
-
-
 _BEST = """ SELECT driver_id, pool_id, order_no, objective FROM (SELECT *, row_number() OVER (PARTITION BY driver_id ORDER BY objective DESC, k, pool_id, order_no) AS rk FROM pe WHERE feasible AND k <= capacity) t WHERE rk = 1"""
 
 

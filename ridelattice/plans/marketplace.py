@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ridelattice.functions import geo
-from ridelattice.functions.money import estimated_trip, money, with_fare
+from ridelattice.functions.money import estimated_trip, with_fare
 from ridelattice.operators import market
 from ridelattice.operators.running import running_row_number
 from ridelattice.plans import sqltext as q

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelattice.functions import congestion, geo
-from ridelattice.operators import gates, network, pairs, pruning
+from ridelattice.operators import network, pairs, pruning
 from ridelattice.plans import sqltext as q
 from ridelattice.plans.matching import standard_pairs
 from ridelattice.plans.registry import query

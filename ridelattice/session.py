@@ -1,11 +1,10 @@
-"""Session helpers: checkpointing that is safe on a cluster, and size-checked broadcasts."""
+"""Session helpers: settings, and checkpointing that is safe on a cluster."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 # The JVM never compiles methods above this bytecode size; a generated stage beyond
@@ -57,14 +56,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only after counting rows; otherwise leave the join to AQE."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def clamp(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
