@@ -323,8 +323,9 @@ def r13(spark, sf):
 
 def _slots(spark, sf):
     """Distinct (start node, departure rounded to ten minutes) of the driver journeys."""
-    return fixture(spark, sf, "net_drivers").select(
+    slots = fixture(spark, sf, "net_drivers").select(
         F.col("o_node").alias("node"), (F.floor(F.col("dep_s") / 600) * 600).cast("double").alias("depart_s")).distinct()
+    return slots.join(fixture(spark, sf, "nodes").select("node"), "node", "left_semi")
 
 
 @query("r11_earliest_arrival")
