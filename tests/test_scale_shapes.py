@@ -43,7 +43,7 @@ def test_running_values_across_buckets(spark):
 
 def test_inversions_and_spearman_without_pairs(spark):
     rng = random.Random(3)
-    rows = [(qid, i, round(rng.choice([0, rng.random() * 100]), 2), round(rng.random() * 100, 2)) for qid in (1, 2) for i in range(40)]
+    rows = [(qid, i, round(rng.choice([0.0, rng.random() * 100]), 2), round(rng.random() * 100, 2)) for qid in (1, 2) for i in range(40)]
     df = spark.createDataFrame(rows, "rider_id int, driver_id int, a double, b double")
     got = {r.rider_id: (r.inverted, r.comparable) for r in evaluate.inversions(df, "rider_id", "a", "b").collect()}
     rho = {r.rider_id: r.rho for r in evaluate.spearman(df, "rider_id", "a", "b").collect()}
