@@ -48,7 +48,7 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
 
 @query("op1_quality_rules", f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 pos AS (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM w WHERE len(w) >= 5),
 win AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM pos),
 again AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q
@@ -57,7 +57,7 @@ rep AS (SELECT doc_id, CAST(sum(least(5, p - coalesce(q, p - 5))) AS BIGINT) AS
 m AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-  CAST(len(list_filter(w.w, x -> lower(x) IN ({_STOP}))) AS BIGINT) AS n_stop FROM w LEFT JOIN rep USING (doc_id)),
+  CAST(len(list_filter(w.w, lambda x: lower(x) IN ({_STOP}))) AS BIGINT) AS n_stop FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (n_words < 10
