@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelattice.llm import quality
-from ridelattice.llm.text import read
+from ridelattice.llm import fingerprints, quality
+from ridelattice.llm.text import hex64, read
+from ridelattice.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +70,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.message_quality(messages(spark, sf_dir))
     return q.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op2_document_fingerprints")
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = fingerprints.spliced_messages(messages(spark, sf_dir)).withColumn("rid", F.monotonically_increasing_id()).select(
+        "rid", "id", "next_id", F.length("content").cast("long").alias("n_chars"), sha(F.col("edited")).alias("edited_sha256"),
+        F.posexplode(F.array("content", "edited")).alias("kind", "content"))
+    keys = ["rid", "id", "next_id", "n_chars", "edited_sha256"]
+    fp = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fingerprint")))
+    rows = cut_lineage(fingerprints.fingerprint_rows(both, [*keys, "kind"], "content").groupBy(*keys).agg(fp(0).alias("fp"), fp(1).alias("edited_fp")))
+    after = rows.groupBy("id").agg(F.min("fp").alias("next_fp")).withColumnRenamed("id", "next_id")
+    classes = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
+    pairs = fingerprints.within_radius(classes.select(F.col("fp").alias("fingerprint")))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("fingerprint_a").alias("fp"), F.col("fingerprint_b").alias("other")), F.struct(F.col("fingerprint_b").alias("fp"), F.col("fingerprint_a").alias("other")))).alias("e")).select("e.*")
+    near = ends.join(classes.withColumnRenamed("fp", "other"), "other").groupBy("fp").agg(F.count("*").alias("n_near"), F.min("first_id").alias("near_id"))
+    classes = classes.join(near, "fp", "left").select("fp", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.least("first_id", "near_id").alias("near_id"))
+    return rows.join(after, "next_id", "left").join(classes, "fp").select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", hex64(F.col("fp")).alias("fingerprint"), hex64(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "n_near", "near_id")
