@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelattice.llm import fingerprints, quality
+from ridelattice.llm import fingerprints, neardup, quality
 from ridelattice.llm.text import hex64, read
 from ridelattice.session import cut_lineage
 
@@ -90,3 +90,9 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", hex64(F.col("fp")).alias("fingerprint"), hex64(F.col("edited_fp")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         "n_near", "near_id")
+
+
+@query("op4_simhash_near_dedup")
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(messages(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), hex64(F.col("fingerprint")).alias("fingerprint"), "component_id", "n_links")
