@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,28 +64,23 @@ def within_radius(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs of different fingerprints at most ``radius`` bits apart, each once, as ``fingerprint_a`` < ``fingerprint_b``.
 
     ``fingerprints``: rows with ``fingerprint`` (long). Equal values are one; nulls are left out; an empty table gives no
-    pairs. Bits are cut into radius + 3 blocks, and one permuted table is kept for every choice of three blocks: two
-    fingerprints within the radius agree on at least three whole blocks, so they meet in a table under an equal key of
-    some 64 * 3 / (radius + 3) bits. A pair is taken from the table of its three lowest equal blocks only.
+    pairs. Bits are cut into radius + 2 blocks, and one permuted table is kept for every choice of two blocks: two
+    fingerprints within the radius agree on at least two whole blocks, so they meet in a table under an equal key of
+    some 128 / (radius + 2) bits. A pair is taken from the table of its two lowest equal blocks only.
     """
-    masks = _blocks(radius + 3)
-    tables = []
-    for t, used in enumerate(combinations(range(len(masks)), 3)):
-        key = 0
-        for b in used:
-            key |= masks[b]
-        before = [b for b in range(used[-1]) if b not in used]
-        tables.append(F.struct(
-            F.lit(t).alias("table"), F.col("fingerprint").bitwiseAND(F.lit(key)).alias("key"),
-            F.array(*[F.lit(masks[b]).cast("long") for b in before]).cast("array<bigint>").alias("before")))
-    classes = packed(fingerprints, "fingerprint").select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
-    rows = classes.select("fingerprint", F.explode(F.array(*tables)).alias("t")).select("fingerprint", "t.*")
-    a = rows.withColumnRenamed("fingerprint", "fingerprint_a")
-    b = rows.select(F.col("fingerprint").alias("fingerprint_b"), "table", "key")
-    diff = F.col("fingerprint_a").bitwiseXOR(F.col("fingerprint_b"))
-    first = F.forall("before", lambda m: diff.bitwiseAND(m) != 0)
-    near = (F.col("fingerprint_a") < F.col("fingerprint_b")) & (F.bit_count(diff) <= radius) & first
-    return a.join(b, (a["table"] == b["table"]) & (a["key"] == b["key"]) & near).select("fingerprint_a", "fingerprint_b")
+    masks = _blocks(radius + 2)
+    chosen = list(combinations(range(len(masks)), 2))
+    tables = [F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(masks[i] | masks[j])).alias("key")) for t, (i, j) in enumerate(chosen)]
+    classes = packed(fingerprints, "fingerprint").select(F.col("fingerprint").alias("fp")).where("fp IS NOT NULL").distinct()
+    rows = classes.select("fp", F.explode(F.array(*tables)).alias("t")).select("fp", "t.table", "t.key")
+    a, b = rows.alias("a"), rows.alias("b")
+    diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    # blocks below the table's upper one, other than its lower one, that agree too
+    lower = [(F.col("a.table") == t) & (diff.bitwiseAND(F.lit(masks[k])) == 0) for t, (i, j) in enumerate(chosen) for k in range(j) if k != i]
+    first = ~reduce(lambda x, y: x | y, lower, F.lit(False))
+    near = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(diff) <= radius) & first
+    met = (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key"))
+    return a.join(b, met & near).select(F.col("a.fp").alias("fingerprint_a"), F.col("b.fp").alias("fingerprint_b"))
 
 
 def next_messages(messages: DataFrame) -> DataFrame:
@@ -112,9 +108,10 @@ def spliced_messages(messages: DataFrame) -> DataFrame:
     rows = packed(messages, "id", "content").select("id", text_of(F.col("content")).alias("content"))
     after = next_messages(messages)
     before = after.select(F.col("next_id").alias("id"), F.col("id").alias("prev_id"), F.floor(F.col("n_chars") / 4).cast("int").alias("need"))
-    opening = rows.join(before, "id").select(F.col("prev_id").alias("id"), F.expr("substring(content, 1, need)").alias("opening"))
+    links = after.select("id", "next_id").join(before, "id", "full")
+    # both uses read one shuffle of the texts: pinned, so that neither gets a filter of its own
+    opening = rows.join(links, "id", "left").select(pinned(F.col("prev_id")).alias("id"), F.expr("substring(content, 1, need)").alias("opening"))
     opening = opening.groupBy("id").agg(F.min("opening").alias("opening"))
-    cut = F.floor(F.length("content") / 4).cast("int")
-    rows = rows.join(after.select("id", "next_id"), "id", "left").join(opening, "id", "left").withColumn("cut", cut)
+    rows = rows.join(links.select("id", "next_id"), "id", "left").join(opening, "id", "left").withColumn("cut", F.floor(F.length("content") / 4).cast("int"))
     edited = F.concat(F.expr("substring(content, 1, length(content) - cut)"), F.expr("substring(coalesce(opening, ''), 1, cut)"))
     return rows.select("id", "next_id", "content", edited.alias("edited"))

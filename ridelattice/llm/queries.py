@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelattice.llm import fingerprints, neardup, quality
+from ridelattice.llm import fingerprints, neardup, packing, quality
 from ridelattice.llm.text import hex64, read
 from ridelattice.session import cut_lineage
 
@@ -96,3 +96,13 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(messages(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), hex64(F.col("fingerprint")).alias("fingerprint"), "component_id", "n_links")
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(messages(spark, sf_dir))
+
+
+def packed_documents(rows: DataFrame) -> DataFrame:
+    return packing.pack_messages(rows).select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("message_tokens").alias("doc_tokens"), "sequence_id", "offset")
