@@ -35,7 +35,7 @@ def vocabulary(name: str) -> str:
 # Printable ASCII and the Latin-1 letters, on which lower-casing and normal form are plain, and the
 # vocabulary's own pre-token pattern, written for lower-case runs of these characters.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+")
+PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class ChunkEncoder:
