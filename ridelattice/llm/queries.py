@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelattice.llm import fingerprints, neardup, packing, quality
+from ridelattice.llm import fingerprints, neardup, packing, quality, repeats, secrets
 from ridelattice.llm.text import hex64, read
 from ridelattice.session import cut_lineage
 
@@ -106,3 +106,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_documents(rows: DataFrame) -> DataFrame:
     return packing.pack_messages(rows).select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("message_tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(messages(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), F.col("content").alias("text"), F.length("content").cast("long").alias("n_chars"), F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
+def _joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op9_secret_scans")
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return secrets.message_secrets(messages(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), n("assign"), n("access"), n("hex"), sha(_joined("base")).alias("base_sha256"), _joined("spans").alias("spans"))

@@ -72,6 +72,17 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+def carried(df: DataFrame) -> DataFrame:
+    """``id`` and ``content`` (null as empty) beside the struct ``rest`` of all other columns."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("id", "content")] or [F.lit(0).alias("none")]
+    return df.select(F.struct(*rest).alias("rest"), "id", text_of(F.col("content")).alias("content"))
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, in its order, from a frame that :func:`carried` wrapped."""
+    return df.select(*[F.col(c) if c in ("id", "content") else F.col(f"rest.`{c}`") for c in like.columns])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
