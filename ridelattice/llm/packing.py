@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ END = 2
 #: UTF-8 bytes of text whose pieces share a group; it bounds a group's memory and sets how many groups there are.
 GROUP_BYTES = 16 << 20
 #: Chunks whose ids a worker keeps; beyond it starts again.
-CACHE = 600_000
+CACHE = 900_000
 SEED = 11
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -84,12 +85,18 @@ class ChunkEncoder:
         """One array of 16-bit ids per text."""
         runs = [t.encode("utf-8", "replace").split() for t in texts]
         new = set().union(*runs).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(self.parts) + len(new) > CACHE:
             self.known, self.parts, new = {}, {}, set().union(*runs)
         self._learn(new)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, r)), "<u2") for r in runs]
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> ChunkEncoder:
+    """The worker's encoder, which keeps what it learned from one task to the next."""
+    return ChunkEncoder(path)
+
+
 def _slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
     """Index ranges of texts of about ``chars`` characters together."""
     at = size = 0
@@ -106,7 +113,7 @@ def _pieces(path: str, groups: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, rng = ChunkEncoder(path), np.random.default_rng([SEED, TaskContext.get().partitionId()])
+        encoder, rng = encoder_for(path), np.random.default_rng([SEED, TaskContext.get().partitionId()])
         for b in batches:
             ids, texts = b["id"].array, b["content"].tolist()
             for lo, hi in _slices(texts, 1 << 20):
