@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelattice.llm import fingerprints, neardup, packing, quality, repeats, secrets
+from ridelattice.llm import bpe, fingerprints, html, neardup, packing, quality, repeats, secrets
 from ridelattice.llm.text import hex64, read
 from ridelattice.session import cut_lineage
 
@@ -123,3 +123,14 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return secrets.message_secrets(messages(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), n("assign"), n("access"), n("hex"), sha(_joined("base")).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+@query("op6_bpe_encoding")
+def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.message_tokens(messages(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_texts(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
