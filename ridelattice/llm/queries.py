@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridelattice.llm import bpe, fingerprints, html, neardup, packing, quality, repeats, secrets
+from ridelattice.llm import bpe, chat, counts, fingerprints, html, neardup, packing, quality, repeats, secrets
 from ridelattice.llm.text import hex64, read
 from ridelattice.session import cut_lineage
 
@@ -134,3 +134,41 @@ def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_extraction")
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_texts(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op3_chat_formatting", """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(text, '([<\\[\\\\])', '\\1\\\\', 'g') AS esc, regexp_replace(role, '([<\\[\\\\])', '\\1\\\\', 'g') AS erole FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(esc) + length(erole) + 13) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""")
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = given.union(added).withColumn("id", place).select(
+        F.col("conv_id").alias("booking_id"), "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("reply_to"), F.col("role").alias("sender_role"), F.col("text").alias("content"), F.lit(None).cast("double").alias("rating"))
+    out = chat.format_threads(rows, branches=None).select("booking_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss_text"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
+    return out.select(
+        F.col("booking_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), sha(told).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        sha(F.col("loss_text")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def document_edits(rows: DataFrame) -> DataFrame:
+    """Three edits of every message: its opening is repeated in the middle, its sender named after a fifth, its first characters cut off."""
+    n = F.length("content")
+    edit = lambda seq, start, removed, inserted: F.struct(
+        F.lit(seq).alias("seq"), start.alias("start"), F.lit(removed).alias("n_removed"), inserted.alias("inserted"))
+    edits = F.array(
+        edit(1, F.floor(n / 2), 24, F.substring("content", 1, 40)), edit(2, F.floor(n / 5), 0, F.concat(F.lit(" from "), F.col("sender_id"))), edit(3, F.lit(0).cast("long"), 5, F.lit("")))
+    return rows.select("id", F.explode(edits).alias("e")).select("id", "e.*")
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages(spark, sf_dir)
+    return counts.edited_token_counts(rows, document_edits(rows)).select(
+        F.col("id").alias("doc_id"), "n_chars", "n_tokens", "n_edits", "edited_chars", "edited_tokens", "recoded_chars", sha(F.col("content")).alias("edited_sha256"))
