@@ -1,0 +1,396 @@
+"""Each operator against a brute-force version, and its small worked cases."""
+
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ridelattice.llm import bpe, chat, components, counts, fingerprints, html, neardup, packing, quality, repeats, secrets
+from tests.llm.rows import messages, prose
+
+
+def documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+# quality rules
+
+def test_quality_counts(spark):
+    text = "a b c d e f a b c d e x y z # *\n\nsame line\nsame line\n \n \n"
+    r = quality.message_quality(messages(spark, [(1, text)])).first()
+    assert (r["n_words"], r["n_symbols"], r["n_dup_lines"]) == (20, 2, 1)
+    assert r["word_chars"] == sum(map(len, text.split())) and r["n_repeat_words"] == 10 and r["base_failed"] and not r["kept"]
+    assert "repeated_words" in r["failed_rules"]
+
+
+def test_overlapping_windows_count_words_once(spark):
+    r = quality.message_quality(messages(spark, [(1, "a " * 7 + "b c d e f g h i j k l m n o p")])).first()
+    assert r["n_repeat_words"] == 7
+
+
+def test_rules_are_a_parameter(spark):
+    rules = (quality.Rule("short", "n_words", 3, None, 0),)
+    kept = quality.good_messages(messages(spark, [(1, prose(1)), (2, "a b")]), rules)
+    assert [r["id"] for r in kept.collect()] == [1]
+
+
+# fingerprints
+
+def test_radius_search_finds_every_pair(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = {b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(4)}
+    want = {tuple(sorted((signed(a), signed(b)))) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 3}
+    df = spark.createDataFrame([(signed(x),) for x in [*fps, *list(fps)[:5]]] + [(None,)], "fingerprint bigint")
+    got = [tuple(r) for r in fingerprints.within_radius(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_next_message_and_splice(spark):
+    rows = [(30, "cccccccc"), (10, "aaaaaaaaaaaa"), (20, "b"), (10, "aaaaaaaaaaaa"), (None, "nnnn")]
+    got = sorted((str(r["id"]), str(r["next_id"]), r["edited"]) for r in fingerprints.spliced_messages(messages(spark, rows)).collect())
+    assert got == [("10", "20", "aaaaaaaaab"), ("10", "20", "aaaaaaaaab"), ("20", "30", "b"), ("30", "10", "ccccccaa"), ("None", "None", "nnn")]
+
+
+def test_fingerprint_is_the_majority_of_its_terms(spark):
+    m = documents(spark)
+    got = {r["id"]: r["fingerprint"] for r in fingerprints.message_fingerprints(m).collect()}
+    h = m.withColumn("w", F.regexp_extract_all("content", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
+    for r in h.select("id", fingerprints.term_hashes(F.col("content")).alias("h")).collect():
+        bits = np.unpackbits(np.array(r["h"], np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(int)
+        want = sum(1 << b for b in range(64) if 2 * bits[:, b].sum() > len(bits))
+        assert got[r["id"]] == signed(want)
+
+
+# near duplicates
+
+def brute_simhash(text: str) -> int:
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    s = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash():
+    for t in ("", " ", "One", "a b c", "A b C d", "É a b c d É", prose(3), "w " * 70_000):
+        assert neardup.simhash(t) == brute_simhash(t)
+
+
+def test_links_and_components(spark):
+    rng = random.Random(9)
+    fps = {0}
+    for _ in range(25):
+        x = rng.getrandbits(64)
+        for _ in range(6):
+            fps.add(x)
+            x ^= sum(1 << i for i in rng.sample(range(64), rng.randint(1, 5)))
+    want = {tuple(sorted((signed(a), signed(b)))) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 4}
+    links = neardup.near_links(spark.createDataFrame([(signed(x),) for x in fps], "fingerprint bigint"))
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    root = {signed(x): signed(x) for x in fps}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in want:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    nodes = {x for p in want for x in p}
+    assert {(r["node"], r["root"]) for r in components.components(links).collect()} == {(x, top(x)) for x in nodes}
+
+
+def test_a_long_chain_is_one_component(spark):
+    chain = [(i, i + 1) for i in range(60)] + [(5, 5), (7, 6)]
+    got = components.components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()
+    assert len(got) == 61 and {r["root"] for r in got} == {0}
+
+
+def test_near_groups_of_documents(spark):
+    rows = documents(spark).collect()
+    fp = {r["id"]: brute_simhash(r["content"]) for r in rows}
+    got = {r["id"]: r for r in neardup.near_groups(documents(spark)).collect()}
+    for a in fp:
+        assert got[a]["fingerprint"] == signed(fp[a])
+        linked = {b for b in fp if (fp[a] ^ fp[b]).bit_count() <= 4}
+        assert len({got[b]["component_id"] for b in linked}) == 1 and got[a]["component_id"] <= min(linked)
+        assert got[a]["n_links"] == len({fp[b] for b in linked} - {fp[a]})
+
+
+# counts under edits
+
+PIECES = ["a", "  ", "\n", " ", "é", " the", " of", "'s", "12", " ½", "日本", "!!", "\t", " ing", " word.", " A", " bcd", "<|endoftext|>"]
+
+
+def test_tree_counts_equal_whole_counts():
+    rng, encode = random.Random(2), counts.encoding(packing.vocabulary(counts.RANKS)).encode_ordinary
+    for size in (0, 5, 300, 3000) * 8:
+        text = "".join(rng.choice(PIECES) for _ in range(size))
+        tree = counts.TokenTree(text, encode)
+        for k in range(12):
+            start, gone = rng.randint(0, len(text) + 3), rng.choice([0, 1, 3, 50, 2000])
+            new = "".join(rng.choice(PIECES) for _ in range(rng.choice([0, 1, 5, 60, 3000 if k == 9 else 2])))
+            tree.edit(start, gone, new)
+            start = min(start, len(text))
+            text = text[:start] + new + text[start + gone :]
+            assert tree.content() == text and tree.n_tokens == len(encode(text)) and tree.n_chars == len(text)
+
+
+def test_an_edit_leaves_the_rest_alone():
+    encode = counts.encoding(packing.vocabulary(counts.RANKS)).encode_ordinary
+    tree = counts.TokenTree(prose(1, 5000), encode)
+    tree.edit(9000, 3, "abc")
+    assert tree.recoded < 4 * counts.LEAF
+
+
+def test_edits_apply_in_order(spark):
+    edits = spark.createDataFrame(
+        [(1, 2, 0, 2, "X"), (1, 1, 1, 1, "yy"), (1, 3, 99, 5, " end"), (7, 1, 0, 0, "lost"), (None, 1, 0, 0, "lost"), (2, 1, None, None, None)],
+        "id bigint, seq int, start int, n_removed int, inserted string")
+    got = {r["id"]: r for r in counts.edited_token_counts(messages(spark, [(1, "abcd"), (2, None), (3, "c")]), edits).collect()}
+    assert (got[1]["content"], got[1]["n_edits"], got[1]["edited_chars"]) == ("Xycd end", 3, 8)
+    assert (got[2]["content"], got[2]["n_edits"], got[2]["n_tokens"]) == ("", 1, 0) and got[3]["n_edits"] == 0 and len(got) == 3
+
+
+# byte-level BPE
+
+def test_bpe_equals_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    told = Tokenizer.from_file(packing.vocabulary(bpe.BYTE_VOCABULARY))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([*PIECES, " ", "\r\n", "\xa0", "\x1c", "😀", "_-", "aaaa", "ThE"]) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    texts += ["a" * 3000, " " * 300, "é" * 333, "abc" * 400, "", " ", "<|endoftext|>"]
+    encoder = bpe.encoder_for(packing.vocabulary(bpe.BYTE_VOCABULARY))
+    for t, got, want in zip(texts, encoder.encode(texts), told.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got.tolist() == want.ids, repr(t)
+        assert encoder.decode(got) == told.decode(want.ids, skip_special_tokens=False)
+    docs = [r["content"] for r in documents(spark).collect()]
+    got = {r["id"]: r for r in bpe.message_tokens(documents(spark)).collect()}
+    for (i, r), e in zip(sorted(got.items()), told.encode_batch(docs, add_special_tokens=False), strict=True):
+        assert r["ids"] == np.array(e.ids, "<u4").tobytes() and r["decoded"] == docs[i] and r["n_tokens"] == len(e.ids)
+
+
+def test_compatible_pairs_are_those_that_merging_leaves():
+    v = bpe.load(packing.vocabulary(bpe.BYTE_VOCABULARY))
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 50256, (2, 4000))
+    a[:2000], b[:2000] = rng.integers(0, 900, (2, 2000))
+    good = v.compatible(a, b)
+    for x, y, ok in zip(a.tolist(), b.tolist(), good.tolist(), strict=True):
+        assert (v.merge(v.bytes[x] + v.bytes[y]) == [x, y]) == ok
+    assert 0 < good.sum() < len(good)
+
+
+# main text
+
+def test_marginals_equal_enumeration():
+    rng = random.Random(1)
+    nodes = [html.Node(-1, "#page", (), [0, 0, 0, 0, 0])] + [html.Node(rng.randrange(i), rng.choice("pq"), (rng.choice("ab"),), [0] * 5) for i in range(1, 7)]
+    deep = [0] * 7
+    for i in range(1, 7):
+        deep[i] = deep[nodes[i].parent] + 1
+    names = {f for i, n in enumerate(nodes) for f in html.features(n, deep[i])}
+    model = html.Model({f: rng.uniform(-2, 2) for f in names}, {(t, p, c): rng.uniform(-2, 2) for t in ("p", "q", "") for p in (0, 1) for c in (0, 1)})
+    total, mass = 0.0, [0.0] * 7
+    for labels in itertools.product((0, 1), repeat=6):
+        y = (0, *labels)
+        score = sum(sum(model.unary[f] for f in html.features(nodes[i], deep[i])) * y[i] for i in range(1, 7))
+        score += sum(html._edge(model.pair, nodes[i].tag, y[nodes[i].parent], y[i]) for i in range(1, 7))
+        total += np.exp(score)
+        for i in range(7):
+            mass[i] += np.exp(score) * y[i]
+    assert np.allclose(html.marginals(model, nodes)[0], np.array(mass) / total)
+
+
+def test_held_out_layouts():
+    texts = [prose(i, 20) + "." for i in range(60)]
+    rng = random.Random(5)
+    model = html.train([html.labelled_page(texts, rng) for _ in range(150)], rounds=8)
+    right = wrong = 0
+    for i in range(60):
+        nodes, labels = html.labelled_page(texts, random.Random(1000 + i))
+        prob, _ = html.marginals(model, nodes)
+        for k, n in enumerate(nodes):
+            if n.stats[2]:
+                ok = (prob[k] > 0.5) == bool(labels[k])
+                right, wrong = right + ok, wrong + (not ok)
+    assert right / (right + wrong) > 0.97
+
+
+def test_page_texts(spark):
+    body = "<nav><ul><li><a href=x>Home</a></ul></nav><article><h1>A &amp; b</h1><p>One\n two.<p>Three <b>four</b><br>five.<script>var t='</p>'</script></article><footer>end</footer>"
+    page = f"<html><head><title>t</title><style>p</style></head><body>{body}"
+    schema = "page_id bigint, url string, html string, text string, row int"
+    given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    model = html.fit(given, 60, 150)
+    rows = [(1, "u", page, "t", 1), (1, "u", page, "t", 1), (None, None, None, None, None), (2, "u", "", "t", 1), (3, "u", "</p><p", "t", 1), (4, "u", body * 300, "t", 1)]
+    got = [(r["page_id"], r["text"]) for r in html.page_texts(spark.createDataFrame(rows, schema), model).collect()]
+    want = "A & b\nOne two.\nThree four five."
+    assert got == [(1, want), (1, want), (None, ""), (2, ""), (3, ""), (4, "\n".join([want] * 300))]
+    assert html.page_texts(spark.createDataFrame([], schema)).collect() == []
+    for r in html.page_texts(given, model).join(given.select("page_id", "html"), "page_id").collect():
+        inside = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        from html import unescape
+
+        blocks = [" ".join(unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inside)]
+        assert r["text"] == "\n".join(x for x in blocks if x)
+
+
+# repeats
+
+def test_repeated_passages_go_and_short_ones_stay(spark):
+    a, b = [" ".join(f"{w}{i}" for i in range(30)) + "." for w in ("alpha", "beta")]
+    rows = [(1, f"start one. {a}\n{b}\n"), (2, f"other text. {a.upper()}  more here.\nLicence line.\n{b}"), (3, "Licence line.\nown words."), (4, f"{a}\n\n{b}"), (5, f"{b}\n{b}")]
+    got = {r["id"]: r for r in repeats.without_repeats(messages(spark, rows)).collect()}
+    assert got[1]["content"] == rows[0][1] and got[3]["content"] == rows[2][1]
+    assert got[2]["content"] == "other text.  more here.\nLicence line.\n" and got[4]["content"] == "" and got[5]["content"] == ""
+    for i, text in rows:
+        out, at = "", 0
+        for s in got[i]["removed"]:
+            out, at = out + text[at : s["start"]], s["start"] + s["length"]
+        assert out + text[at:] == got[i]["content"]
+
+
+def test_repeats_against_brute_force(spark):
+    rows = sorted((r["id"], r["content"]) for r in documents(spark).collect())
+    seen, want = set(), {}
+    for i, text in rows:
+        keep, run = [], []
+        for u in [*repeats.units(text), None]:
+            words = u.lower().split() if u is not None else ["end"]
+            key = " ".join(words)
+            if u is not None and words and key in seen:
+                run.append(u)
+                continue
+            if u is not None and not words:
+                (run if run else keep).append(u)
+                continue
+            tail = []
+            while run and not run[-1].split():
+                tail.insert(0, run.pop())
+            keep += (run if sum(len(x.split()) for x in run) < repeats.MIN_WORDS else []) + tail
+            run = []
+            if u is not None:
+                seen.add(key)
+                keep.append(u)
+        want[i] = "".join(keep)
+    assert {r["id"]: r["content"] for r in repeats.without_repeats(documents(spark)).collect()} == want
+
+
+# secrets
+
+def spans(df):
+    return {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in df.collect()}
+
+
+def test_base_patterns(spark):
+    t1 = 'é api_key: "abcDEF123" PASSWORD=short1 token=x AKIA' + "A" * 16 + " " + "0123456789abcdef" * 2
+    got = spans(secrets.message_secrets(messages(spark, [(1, t1), (2, "toKen = abcdef"), (3, "AKIAshort 0123456789abcdef")])))
+    assert got[1] == [("assign", 2, 21), ("assign", 23, 38), ("access", 47, 67), ("hex", 68, 100)]
+    assert got[2] == [("assign", 0, 14)] and got[3] == []
+
+
+def test_weak_parts_need_each_other(spark):
+    key = "wJalrXUtnFEMI7K7MDENG" + "bPxRfiCYEXAMPLEKEY"
+    near = f"client_id: app-77 at https://api.example.com/v1 with {key} ok"
+    rows = [(1, near), (2, f"only {key} here"), (3, "client_id: app-77 at https://api.example.com"), (4, f"client_id: app-77 {'far ' * 80} {key}"), (5, "AKIA" + "B" * 16 + f" {key}")]
+    got = spans(secrets.message_secrets(messages(spark, rows)))
+    assert [k for k, _, _ in got[1]] == ["identifier", "endpoint", "secret"] and near[got[1][2][1] : got[1][2][2]] == key
+    assert got[2] == [] and got[3] == [] and got[4] == []
+    assert [k for k, _, _ in got[5]] == ["access", "secret"]
+    hidden = {r["id"]: r["content"] for r in secrets.hide_secrets(messages(spark, rows)).collect()}
+    assert hidden[2] == rows[1][1] and key not in hidden[1] and hidden[5] == "[secret] [secret]"
+
+
+# packing
+
+def test_tournament_equals_first_fit():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 3, 17, 200):
+        sizes, bins, want = [rng.randint(1, 100) for _ in range(n)], [], []
+        for s in sizes:
+            k = next((k for k, used in enumerate(bins) if used + s <= 100), len(bins))
+            bins += [0] * (k == len(bins))
+            want.append((k, bins[k]))
+            bins[k] += s
+        assert packing.first_fit(sizes, 100) == want
+
+
+def test_packed_ids_equal_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    told = Tokenizer.from_file(packing.vocabulary(packing.WORD_VOCABULARY))
+    texts = dict(enumerate(["a<|endoftext|>b <|startoftext|>", "x\x1cy \xa0z ÉÀ ñ ½² K's İI ΑΣ", "it's we'll A'S 'll", "é ́a ß### ß.", "日本語 テスト", "a b", "word " * 9000, ""]))
+    texts |= {100 + r["id"]: r["content"] for r in documents(spark).collect()}
+    rows = packing.pack_messages(messages(spark, list(texts.items())), group_bytes=100_000).collect()
+    used = {}
+    for i, t in texts.items():
+        ids = np.array([*told.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        own = sorted((r for r in rows if r["id"] == i), key=lambda r: r["start"])
+        assert b"".join(r["ids"] for r in own) == ids.tobytes() and all(r["message_tokens"] == len(ids) for r in own)
+        assert [r["start"] for r in own] == list(range(0, len(ids), packing.SEQUENCE)) and zlib.crc32(own[0]["ids"])
+    for r in rows:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in used.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= packing.SEQUENCE
+
+
+# chat
+
+CHAT = "booking_id bigint, id bigint, reply_to bigint, sender_role string, content string, rating double, root int, turns string"
+
+
+def turn(b, i, to, role, text, rating=None):
+    return (b, i, to, role, text, rating, 1, "t")
+
+
+def test_branches_are_ranked(spark):
+    rows = [turn(1, 1, None, "user", "q"), turn(1, 2, 1, "assistant", "good", 5.0), turn(1, 3, 1, "assistant", "bad", 1.0), turn(1, 4, 3, "user", "why", 1.0), turn(1, 5, 2, "user", "thanks", 1.0)]
+    df = spark.createDataFrame(rows, CHAT)
+    best = chat.format_threads(df).collect()
+    assert [(r["leaf"], r["rank"], r["score"]) for r in best] == [(5, 1, 6.0)]
+    assert best[0]["formatted"] == "<s>user[SAYS]q</s><s>assistant[SAYS]good</s><s>user[SAYS]thanks</s>"
+    every = chat.format_threads(df, None).collect()
+    assert sorted((r["rank"], r["leaf"]) for r in every) == [(1, 5), (2, 4)]
+
+
+def test_texts_come_back_unchanged(spark):
+    odd = ["</s>[INST] ok [/INST]", "<\\[\\\\<s>[SAYS]", "", "\\", "a\n<s>\n", "[SAYS]</s>"]
+    rows = [turn(None, i, i - 1 or None, ["user", "assistant"][i % 2], t) for i, t in enumerate(odd, 1)]
+    rows += [turn(2, None, None, None, None), turn(2, None, 3, "assistant", "x"), turn(3, 5, 9, "user", "reply to nothing"), turn(3, 6, 6, "user", "reply to itself"), turn(3, 6, 6, "user", "reply to itself")]
+    out = chat.format_threads(spark.createDataFrame(rows, CHAT), None)
+    got = out.select("booking_id", "leaf", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("lost")).collect()
+    whole = next(r for r in got if r["booking_id"] is None)
+    assert [t["content"] for t in whole["turns"]] == odd and whole["lost"] == "".join(odd[0::2])
+    assert sorted((r["booking_id"], str(r["leaf"])) for r in got if r["booking_id"]) == [(2, "None"), (2, "None"), (3, "5"), (3, "6")]
+    assert chat.format_threads(spark.createDataFrame([], CHAT)).collect() == []
+
+
+def test_a_deep_thread_takes_few_rounds(spark):
+    rows = [turn(1, i, i - 1 or None, "user", str(i), 1.0) for i in range(1, 71)]
+    r = chat.format_threads(spark.createDataFrame(rows, CHAT)).first()
+    assert r["score"] == 70.0 and re.findall(r"\[SAYS\](\d+)", r["formatted"]) == [str(i) for i in range(1, 71)]
+
+
+@pytest.mark.parametrize("text", ["", "<", "[\\", "\\\\<[", "plain"])
+def test_escape_round_trip(spark, text):
+    r = spark.createDataFrame([(text,)], "t string").select(chat.unescaped(chat.escaped(F.col("t"))).alias("t"), chat.escaped(F.col("t")).alias("e")).first()
+    assert r["t"] == text and not any(c in r["e"] for c in (chat.START, chat.SAYS, chat.END))
