@@ -61,7 +61,8 @@ def _removed(text: str, again: dict[int, bytes], min_words: int) -> list[tuple[i
         offset += len(u)
     if start is not None and n_words >= min_words:
         spans.append((start, end))
-    return spans
+    # a passage that begins inside a line leaves that line its end
+    return [(s, e - 1) if s and text[s - 1] != "\n" and text[e - 1] == "\n" else (s, e) for s, e in spans]
 
 
 def _cleaner(min_words: int):

@@ -282,7 +282,11 @@ def test_repeats_against_brute_force(spark):
             tail = []
             while run and not run[-1].split():
                 tail.insert(0, run.pop())
-            keep += (run if sum(len(x.split()) for x in run) < repeats.MIN_WORDS else []) + tail
+            if sum(len(x.split()) for x in run) < repeats.MIN_WORDS:
+                keep += run
+            elif run[-1].endswith("\n") and keep and not keep[-1].endswith("\n"):
+                keep.append("\n")
+            keep += tail
             run = []
             if u is not None:
                 seen.add(key)
