@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelattice.functions import geo
-from ridelattice.operators.network import ranked_element, snap
+from ridelattice.operators.network import near_nodes, ranked_element, snap
 from ridelattice.operators.running import running_row_number, running_sum
 from ridelattice.session import cut_lineage
 
@@ -118,32 +118,28 @@ def assignment_metrics(assigned: DataFrame, riders: DataFrame, drivers: DataFram
 
 # ---- rebalancing ----
 
-MAX_ZONES_INLINE = 500
 # Fixed values
 RELOCATION_KM = 6.0
 RELOCATION_KMH = 25.0
+#: First search radius for the nearest zone, and half the way round the Earth, within which every zone lies.
+ZONE_KM, FARTHEST_KM = 5.0, 20_100.0
 
 
 def nearest_zone(points: DataFrame, zones: DataFrame, lat: str, lon: str, key: str) -> DataFrame:
-    """Nearest centroid, first zone wins ties.
+    """Nearest centroid, first zone wins ties; one plan for any number of zones.
 
-    A short zone list (checked) becomes one array expression per row. A long one
-    goes through the grid join with a growing radius until every point is placed.
+    A grid join with a radius that grows fourfold until every point is placed. Without any zone there is nothing to
+    place points in, and no row comes out.
     """
-    few = zones.select("zone_id", "lat", "lon").orderBy("zone_id").limit(MAX_ZONES_INLINE + 1).collect()
-    if len(few) <= MAX_ZONES_INLINE:
-        options = [F.struct(geo.haversine_km(F.col(lat), F.col(lon), F.lit(z.lat), F.lit(z.lon)).alias("zone_km"), F.lit(z.zone_id).alias("zone_id")) for z in few]
-        return points.withColumn("_z", F.array_min(F.array(*options))).select("*", "_z.zone_id", "_z.zone_km").drop("_z")
     nodes = zones.select(F.col("zone_id").alias("node"), "lat", "lon")
-    left, found, radius = cut_lineage(points), [], 5.0
-    while not left.isEmpty():
+    left, found, radius = cut_lineage(points), [], ZONE_KM
+    while True:
         hit = cut_lineage(snap(left, nodes, key, lat, lon, radius).select(key, F.col("node").alias("zone_id"), F.col("snap_km").alias("zone_km")))
         found.append(left.join(hit, key))
         left = cut_lineage(left.join(hit, key, "left_anti"))
-        radius *= 2
-        if radius > 5000:
-            raise RuntimeError("points without any zone")
-    return reduce(DataFrame.unionByName, found)
+        if radius >= FARTHEST_KM or left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        radius = min(4 * radius, FARTHEST_KM)
 
 
 def zone_balance(placed: DataFrame, zones: DataFrame, multipliers: dict[int, float] | None = None) -> DataFrame:
@@ -164,31 +160,32 @@ def zone_balance(placed: DataFrame, zones: DataFrame, multipliers: dict[int, flo
 
 
 def relocations(placed: DataFrame, balance: DataFrame, key: str, lat: str, lon: str, zones: DataFrame) -> DataFrame:
-    """Directives: each deficit zone, in order, takes its nearest unused surplus drivers within 6 km.
+    """Directives: each deficit zone, in order of id, takes its nearest unused surplus drivers within 6 km.
 
-    All slots of a zone share its centroid, so filling them one by one equals one
-    ranked cut per zone; the loop runs over the few deficit zones.
+    All zones propose at once to as many of their nearest drivers as they lack, leaving out drivers that a zone before
+    them holds; a driver goes to the first zone that proposes. A zone that lost a driver proposes to the next one. When
+    nothing changes any more, every zone has what it would get in its turn, for zones before it never lose a driver to it.
     """
     extra = running_row_number(placed, ["zone_id"], F.floor(F.col(key) / 1000), [key], "_rn")
     surplus = extra.join(balance.select("zone_id", "surplus"), "zone_id").filter(F.col("_rn") <= F.col("surplus"))
-    free = cut_lineage(surplus.select(key, F.col("zone_id").alias("origin_zone"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")))
-    centre = zones.select("zone_id", "lat", "lon")
-    wanted = balance.filter("deficit > 0").join(centre.select("zone_id", F.col("lat").alias("_zlat"), F.col("lon").alias("_zlon")), "zone_id")
-    wanted = wanted.orderBy("zone_id").limit(MAX_ZONES_INLINE + 1).collect()
-    if len(wanted) > MAX_ZONES_INLINE:
-        raise ValueError("relocation works over a short list of zones; split the region first")
-    done: list[DataFrame] = []
-    for z in wanted:
-        km = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.lit(z["_zlat"]), F.lit(z["_zlon"]))
-        near = free.withColumn("km", km).filter(F.col("km") <= RELOCATION_KM).withColumn("target_zone", F.lit(z["zone_id"]))
-        order = running_row_number(near, ["target_zone"], F.floor(F.col("km") * 100), ["km", "origin_zone", key], "_rn")
-        take = cut_lineage(order.filter(F.col("_rn") <= z["deficit"]).select(key, "origin_zone", "target_zone", "km"))
-        done.append(take)
-        free = cut_lineage(free.join(take.select(key), key, "left_anti"))
-    if not done:
-        return free.select(key, "origin_zone", F.lit(None).cast("int").alias("target_zone"), F.lit(0.0).alias("km"), F.lit(0.0).alias("transit_s")).limit(0)
-    return reduce(DataFrame.unionByName, done).withColumns({
-        "transit_s": F.round(F.col("km") / RELOCATION_KMH * 3600.0, 1), "km": F.round("km", 3)})
+    free = cut_lineage(surplus.select(key, F.col("zone_id").alias("origin_zone"), lat, lon))
+    short = balance.filter("deficit > 0").select("zone_id", "deficit").join(zones.select("zone_id", "lat", "lon"), "zone_id")
+    near = near_nodes(free, short.select(F.col("zone_id").alias("node"), "lat", "lon"), key, lat, lon, RELOCATION_KM)
+    near = near.join(free.select(key, "origin_zone"), key).withColumnRenamed("node", "target_zone")
+    near = cut_lineage(near.join(short.select(F.col("zone_id").alias("target_zone"), "deficit"), "target_zone"))
+    held = near.select(key, F.col("target_zone").alias("holder")).limit(0)
+    mark = None
+    while True:
+        open_ = near.join(held, key, "left").filter(F.coalesce(F.col("holder") >= F.col("target_zone"), F.lit(True)))
+        order = running_row_number(open_.drop("holder"), ["target_zone"], F.floor(F.col("km") * 100), ["km", "origin_zone", key], "_rn")
+        asked = order.filter(F.col("_rn") <= F.col("deficit"))
+        held = cut_lineage(asked.groupBy(key).agg(F.min("target_zone").alias("holder")))
+        now = held.agg(F.count("*"), F.sum(F.hash(key, "holder").cast("bigint"))).first()
+        if now == mark:
+            break
+        mark = now
+    moved = near.join(held.withColumnRenamed("holder", "target_zone"), [key, "target_zone"]).select(key, "origin_zone", "target_zone", "km")
+    return moved.withColumns({"transit_s": F.round(F.col("km") / RELOCATION_KMH * 3600.0, 1), "km": F.round("km", 3)})
 
 
 def rebalance_report(directives: DataFrame, balance: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelattice.functions import congestion, geo
-from ridelattice.operators.pairs import _lon_width
+from ridelattice.operators.pairs import cell_column, cell_columns
 from ridelattice.session import cut_lineage
 
 # Fixed values
@@ -40,19 +40,22 @@ def build_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.select(F.inline(ways), "km", "kmh", (F.col("km") / F.col("kmh") * 3600.0).alias("secs"))
 
 
-def snap(points: DataFrame, nodes: DataFrame, key: str, lat: str, lon: str, limit_km: float = SNAP_LIMIT_KM) -> DataFrame:
-    """Nearest node within the limit: grid-cell equi-join, then a minimum per point."""
+def near_nodes(points: DataFrame, nodes: DataFrame, key: str, lat: str, lon: str, limit_km: float) -> DataFrame:
+    """All (``key``, ``node``, ``km``) within the limit: a grid-cell equi-join."""
     cell = limit_km / geo.KM_PER_DEGREE * (1 + 1e-9)
     p = points.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
     p = p.withColumn("_row", F.floor(F.col("_lat") / cell))
-    p = p.withColumn("_col", F.floor(F.col("_lon") / _lon_width(F.col("_row"), cell, limit_km)))
+    p = p.withColumn("_col", cell_column(F.col("_lon"), F.col("_row"), cell, limit_km))
     mine = F.floor(F.col("lat") / cell)
     n = nodes.select("node", "lat", "lon").withColumn("_row", F.explode(F.sequence(mine - 1, mine + 1)))
-    at = F.floor(F.col("lon") / _lon_width(F.col("_row"), cell, limit_km))
-    n = n.withColumn("_col", F.explode(F.sequence(at - 1, at + 1)))
+    n = n.withColumn("_col", F.explode(cell_columns(F.col("lon"), F.col("_row"), cell, limit_km)))
     near = p.join(n, ["_row", "_col"]).withColumn("km", geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
-    near = near.filter(F.col("km") <= limit_km)
-    best = near.groupBy(key).agg(F.min(F.struct("km", "node")).alias("b"))
+    return near.filter(F.col("km") <= limit_km).select(key, "node", "km")
+
+
+def snap(points: DataFrame, nodes: DataFrame, key: str, lat: str, lon: str, limit_km: float = SNAP_LIMIT_KM) -> DataFrame:
+    """Nearest node within the limit: the near nodes, then a map-side combined minimum per point."""
+    best = near_nodes(points, nodes, key, lat, lon, limit_km).groupBy(key).agg(F.min(F.struct("km", "node")).alias("b"))
     return best.select(key, F.col("b.node").alias("node"), F.col("b.km").alias("snap_km"))
 
 

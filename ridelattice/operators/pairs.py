@@ -34,11 +34,27 @@ def pool_pairs(pools: DataFrame, riders: DataFrame, drivers: DataFrame) -> DataF
     return pools.select("rider_id", "driver_id").join(as_requests(riders), "rider_id").join(as_vehicles(drivers), "driver_id")
 
 
-def _lon_width(row: Column, cell_deg: float, radius_km: float) -> Column:
-    """Longitude width of a cell row: covers the radius at the row's own largest latitude."""
-    worst = F.least(F.greatest(F.abs(row - 1), F.abs(row + 2)) * cell_deg, F.lit(89.0))
-    ratio = math.sin(radius_km / geo.EARTH_RADIUS_KM / 2) / F.cos(F.radians(worst))
-    return F.degrees(2 * F.asin(F.least(F.lit(1.0), ratio))) * (1 + 1e-9)
+def _row_cells(row: Column, cell_deg: float, radius_km: float) -> Column:
+    """Number of cells in a row: each covers the radius at the largest latitude that a neighbour of the row reaches.
+
+    Rows that touch a pole have two cells, which are each other's neighbours, so a pair across the pole meets.
+    """
+    worst = F.least(F.greatest(F.abs(row - 1), F.abs(row + 2)) * cell_deg, F.lit(90.0))
+    ratio = math.sin(min(radius_km / geo.EARTH_RADIUS_KM / 2, math.pi / 2)) / F.cos(F.radians(worst))
+    width = F.degrees(2 * F.asin(F.least(F.lit(1.0), ratio))) * (1 + 1e-9)
+    return F.greatest(F.lit(1), F.floor(360.0 / width)).cast("bigint")
+
+
+def cell_column(lon: Column, row: Column, cell_deg: float, radius_km: float) -> Column:
+    """Cell of a longitude in its row; the row closes at 180 degrees."""
+    n = _row_cells(row, cell_deg, radius_km)
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * n), n)
+
+
+def cell_columns(lon: Column, row: Column, cell_deg: float, radius_km: float) -> Column:
+    """The cell of a longitude and its neighbours round the row, each once."""
+    n, at = _row_cells(row, cell_deg, radius_km), cell_column(lon, row, cell_deg, radius_km)
+    return F.array_distinct(F.array(F.pmod(at - 1, n), at, F.pmod(at + 1, n)))
 
 
 def radius_pairs(
@@ -63,19 +79,17 @@ def radius_pairs(
     r = r.withColumns({f"_by_{b}": F.col(f"r_{b}") for b in by})
     r = r.withColumn("_row", F.floor(F.col("r_o_lat") / cell))
     r = r.withColumns({
-        "_col": F.floor(F.col("r_o_lon") / _lon_width(F.col("_row"), cell, pickup_km)),
+        "_col": cell_column(F.col("r_o_lon"), F.col("_row"), cell, pickup_km),
         "_tb": F.floor(F.col("r_dep_s") / bucket),
     })
 
     v = v.withColumns({f"_by_{b}": F.col(f"v_{b}") for b in by})
     mine = F.floor(F.col("v_o_lat") / cell)
     v = v.withColumn("_row", F.explode(F.sequence(mine - 1, mine + 1)))
-    width = _lon_width(F.col("_row"), cell, pickup_km)
     # skip neighbour rows that lie further away than the radius
     gap = F.greatest(F.col("_row") * cell - F.col("v_o_lat"), F.col("v_o_lat") - (F.col("_row") + 1) * cell)
     v = v.filter(gap <= cell)
-    at = F.floor(F.col("v_o_lon") / width)
-    v = v.withColumn("_col", F.explode(F.sequence(at - 1, at + 1)))
+    v = v.withColumn("_col", F.explode(cell_columns(F.col("v_o_lon"), F.col("_row"), cell, pickup_km)))
     span = minutes * 60.0
     v = v.withColumn("_tb", F.explode(F.sequence(
         F.floor((F.col("v_dep_s") - span) / bucket), F.floor((F.col("v_dep_s") + span) / bucket))))

@@ -28,6 +28,7 @@ def local_session(app: str = "ridelattice", cpus: int | str = "*", partitions: i
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16KB")
         .config("spark.sql.codegen.hugeMethodLimit", str(HUGE_METHOD_LIMIT))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
