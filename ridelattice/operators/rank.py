@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelattice.operators.gates import WEIGHTS, normalised
+from ridelattice.operators.recourse import hashed_uniform
 
 # Fixed values
 BASELINES = ("seeded_random", "nearest_neighbour", "distance_destination", "route_time")
@@ -39,7 +40,7 @@ def rank_eligible(gated: DataFrame, k: int = 3) -> DataFrame:
 def baseline_rankings(eligible: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:
     """All baselines in one pass: the method is a column, smaller sort key first."""
     methods = F.array(
-        F.struct(F.lit(BASELINES[0]).alias("method"), (F.xxhash64(F.lit(seed), "rider_id", "driver_id").cast("double")).alias("key")),
+        F.struct(F.lit(BASELINES[0]).alias("method"), hashed_uniform(F.lit(seed), "rider_id", "driver_id").alias("key")),
         F.struct(F.lit(BASELINES[1]).alias("method"), F.col("pickup_km").alias("key")),
         F.struct(F.lit(BASELINES[2]).alias("method"), (F.col("pickup_km") + F.col("dest_km")).alias("key")),
         F.struct(F.lit(BASELINES[3]).alias("method"), (-F.col("score")).alias("key")),

@@ -16,9 +16,10 @@ DWELL_MIN_S = 5.0
 DWELL_MAX_FACTOR = 3.0
 
 
-def hashed_uniform(*parts: Column) -> Column:
-    """Uniform in (0, 1), the same for the same ids however the data is partitioned."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(2**53 - 1)).cast("double") + 0.5) / float(2**53)
+def hashed_uniform(*parts: Column | str) -> Column:
+    """Uniform in (0, 1) from the first 52 bits of the ids' MD5: the same for the same ids, in any engine and partitioning."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**52)
 
 
 def dwell_seconds(kind: Column, u1: Column, u2: Column) -> Column:

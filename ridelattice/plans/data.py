@@ -90,16 +90,30 @@ def s7(spark, sf):
     return e.select("event_id", F.col("decoded.k").alias("k"), F.col("props").alias("raw"))
 
 
-@query("s8_corridor_dataset")
+@query("s8_corridor_dataset", with_clause("riders") + f""", req AS (SELECT rider_id AS request_id, CASE rider_id % 3 WHEN 0 THEN 'thin' WHEN 1 THEN 'balanced' ELSE 'dense' END AS scenario, CASE rider_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 12 ELSE 24 END AS n FROM riders),
+  c AS (SELECT request_id, scenario, slot, (request_id + slot) % 12 AS mode FROM (SELECT *, unnest(range(n)) AS slot FROM req) t),
+  d AS (SELECT *, CASE WHEN mode = 7 THEN 4e0 ELSE (-1.2e0 + (1.2e0 - (-1.2e0))*{q.uniform('11', "'y0'", 'request_id', 'slot')}) END AS y0, CASE WHEN mode = 7 THEN 4e0 ELSE (-1.5e0 + (1.5e0 - (-1.5e0))*{q.uniform('11', "'y1'", 'request_id', 'slot')}) END AS y1,
+    CASE WHEN mode = 8 THEN 75e0 ELSE (-25e0 + (25e0 - (-25e0))*{q.uniform('11', "'t'", 'request_id', 'slot')}) END AS minutes, (0.35e0 + (2.5e0 - (0.35e0))*{q.uniform('11', "'dt'", 'request_id')}) AS dt, (5e0 + (35e0 - (5e0))*{q.uniform('11', "'tt'", 'request_id')}) AS tt, {q.uniform('11', "'label'", 'request_id', 'slot')} AS u FROM c),
+  p AS (SELECT *, (0.05e0 + 0.90e0*exp(-0.5e0*((abs(y0) + abs(y1))/dt + abs(minutes)/tt)))*CASE WHEN mode = 6 THEN 0.15e0 ELSE 1e0 END AS probability FROM d)
+  SELECT request_id, scenario, slot, mode, round(degrees((CASE WHEN mode = 6 THEN y1 ELSE y0 END)/6371.0088e0), 7) AS o_lat, round(degrees((CASE WHEN mode = 6 THEN 8e0 ELSE 0e0 END)/6371.0088e0), 7) AS o_lon,
+    round(degrees((CASE WHEN mode = 6 THEN y0 ELSE y1 END)/6371.0088e0), 7) AS d_lat, round(degrees((CASE WHEN mode = 6 THEN 0e0 ELSE 8e0 END)/6371.0088e0), 7) AS d_lon, round(minutes, 5) AS minutes, round(probability, 6) AS probability,
+    request_id % 10 <> 0 AND u < probability AS relevant FROM p""")
 def s8(spark, sf):
     r = fixture(spark, sf, "riders")
     third = F.col("rider_id") % 3
     req = r.select(F.col("rider_id").alias("request_id"), F.col("rider_id").alias("idx"),
                    F.when(third == 0, "thin").when(third == 1, "balanced").otherwise("dense").alias("scenario"))
-    return synthetic.corridor_candidates(req).select("request_id", "scenario", "slot", "mode", "o_lat", "o_lon", "d_lat", "d_lon", "minutes", "probability", "relevant")
+    places = [F.round(c, 7).alias(c) for c in ("o_lat", "o_lon", "d_lat", "d_lon")]
+    return synthetic.corridor_candidates(req).select(
+        "request_id", "scenario", "slot", "mode", *places, F.round("minutes", 5).alias("minutes"), F.round("probability", 6).alias("probability"), "relevant")
 
 
-@query("s9_network_commuters")
+@query("s9_network_commuters", with_clause("nodes", "net_riders", "net_drivers") + f""", d AS (SELECT driver_id AS id, town, CAST(floor({q.uniform('101', "'driver'", "'row'", 'driver_id')}*5) AS BIGINT) AS r, CAST(floor({q.uniform('101', "'driver'", "'s'", 'driver_id')}*4) AS BIGINT) AS s,
+    {q.uniform('101', "'driver'", "'e'", 'driver_id')} AS e, CAST(floor({q.uniform('101', "'driver'", "'dep'", 'driver_id')}*20) AS BIGINT) AS offset_min FROM net_drivers),
+  r AS (SELECT rider_id AS id, town, CAST(floor({q.uniform('101', "'rider'", "'o'", 'rider_id')}*25) AS BIGINT) AS o, CAST(floor({q.uniform('101', "'rider'", "'d'", 'rider_id')}*24) AS BIGINT) AS d, CAST(floor({q.uniform('101', "'rider'", "'dep'", 'rider_id')}*25) AS BIGINT) AS offset_min FROM net_riders),
+  j AS (SELECT id, town, town*25 + r*5 + s AS o_node, town*25 + r*5 + s + 1 + CAST(floor(e*(4 - s)) AS BIGINT) AS d_node, offset_min, 'driver' AS role FROM d
+    UNION ALL SELECT id, town, town*25 + o, town*25 + (o + 1 + d) % 25, offset_min, 'rider' FROM r)
+  SELECT j.id, j.town, j.o_node, j.d_node, j.offset_min, a.lat AS o_lat, a.lon AS o_lon, b.lat AS d_lat, b.lon AS d_lon, j.role FROM j JOIN nodes a ON a.node = j.o_node JOIN nodes b ON b.node = j.d_node""")
 def s9(spark, sf):
     n = fixture(spark, sf, "nodes")
     d = synthetic.network_commuters(fixture(spark, sf, "net_drivers").select(F.col("driver_id").alias("id"), "town"), n, "driver")
@@ -107,10 +121,12 @@ def s9(spark, sf):
     return d.withColumn("role", F.lit("driver")).unionByName(r.withColumn("role", F.lit("rider")))
 
 
-@query("s10_poisson_requests")
+@query("s10_poisson_requests", with_clause("net_riders") + f""" SELECT town, rider_id, round(sum(-ln({q.uniform('42', "'gap'", 'town', 'rider_id')})*60e0) OVER (PARTITION BY town ORDER BY rider_id), 3) AS created_s,
+  round(greatest(60e0, least(1200e0, -ln({q.uniform('42', "'patience'", 'town', 'rider_id')})*8e0*60e0)), 3) AS patience_s FROM net_riders""")
 def s10(spark, sf):
     slots = fixture(spark, sf, "net_riders").select("town", "rider_id")
-    return synthetic.poisson_requests(slots, "town", "rider_id")
+    out = synthetic.poisson_requests(slots, "town", "rider_id")
+    return out.select("town", "rider_id", F.round("created_s", 3).alias("created_s"), F.round("patience_s", 3).alias("patience_s"))
 
 
 _RAW = """SELECT rider_id, CASE WHEN rider_id % 50 = 1 THEN 95e0 ELSE o_lat END AS o_lat, o_lon, CASE WHEN rider_id % 50 = 3 THEN o_lat WHEN rider_id % 50 = 5 THEN o_lat + 3e0 ELSE d_lat END AS d_lat,
@@ -166,7 +182,9 @@ def g6(spark, sf):
         "driver_id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"), F.round("p.bearing", 5).alias("bearing"))
 
 
-@query("g13_perturbed_routes")
+@query("g13_perturbed_routes", with_clause("drivers") + f""", p AS (SELECT driver_id, o_lat, o_lon, 0.1e0*sqrt({q.uniform('1', '0', "'endpoints'", 'driver_id', '0', '1')}) AS r, 2e0*pi()*{q.uniform('1', '0', "'endpoints'", 'driver_id', '0', '2')} AS a FROM drivers),
+  m AS (SELECT *, o_lat + degrees(r*sin(a)/6371.0088e0) AS n_lat, o_lon + degrees(r*cos(a)/(6371.0088e0*cos(radians(o_lat)))) AS n_lon FROM p)
+  SELECT driver_id, round({q.hav('o_lat', 'o_lon', 'n_lat', 'n_lon')}, 6) AS moved_km, round(-5e0 + 10e0*{q.uniform('1', '0', "'departure'", 'driver_id')}, 4) AS shift_min FROM m""")
 def g13(spark, sf):
     d = bent_routes(spark, sf)
     moved = synthetic.perturb_routes(d, F.lit(0), "endpoints")

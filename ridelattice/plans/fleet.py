@@ -375,7 +375,9 @@ def i5(spark, sf):
     return recourse.summary(recourse.recovery(trials(spark, sf)), ["severity"])
 
 
-@query("g12_dwell_times")
+@query("g12_dwell_times", with_clause("cohorts") + f""", k AS (SELECT driver_id, rider_id, kind, CASE kind WHEN 'pickup' THEN 60e0 ELSE 25e0 END AS mean,
+    {q.uniform('42', 'driver_id', 'rider_id', 'kind', '1')} AS u1, {q.uniform('42', 'driver_id', 'rider_id', 'kind', '2')} AS u2 FROM cohorts CROSS JOIN (VALUES ('pickup'), ('dropoff')) AS t(kind))
+  SELECT driver_id, rider_id, kind, round(greatest(5e0, least(3e0*mean, exp(ln(mean) - ln(1e0 + 0.35e0*0.35e0)/2e0 + sqrt(ln(1e0 + 0.35e0*0.35e0))*sqrt(-2e0*ln(u1))*cos(2e0*pi()*u2)))), 3) AS dwell_s FROM k""")
 def g12(spark, sf):
     c = fixture(spark, sf, "cohorts").select("driver_id", "rider_id", F.explode(F.array(F.lit("pickup"), F.lit("dropoff"))).alias("kind"))
     u = lambda n: recourse.hashed_uniform(F.lit(42), "driver_id", "rider_id", "kind", F.lit(n))

@@ -227,7 +227,8 @@ def j11(spark, sf):
     return ranked.filter("method <> 'seeded_random'").select("rider_id", "driver_id", "method", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("j11_random_ranking")
+@query("j11_random_ranking", q.scored() + f""" SELECT rider_id, driver_id, 'seeded_random' AS method, rank FROM (SELECT *, row_number() OVER
+  (PARTITION BY rider_id ORDER BY {q.uniform('7', 'rider_id', 'driver_id')}, driver_id) AS rank FROM scored WHERE eligible) t WHERE rank <= 3""")
 def j11_random(spark, sf):
     ranked = rank.baseline_rankings(eligible_pairs(spark, sf), 3)
     return ranked.filter("method = 'seeded_random'").select("rider_id", "driver_id", "method", "rank")

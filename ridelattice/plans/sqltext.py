@@ -12,6 +12,11 @@ def hav(a: str, b: str, c: str, d: str) -> str:
     )
 
 
+def uniform(*parts: str) -> str:
+    """Uniform in (0, 1) from the first 52 bits of an MD5."""
+    return f"((CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13) AS BIGINT) + 0.5e0)/4503599627370496e0)"
+
+
 def bearing(a: str, b: str, c: str, d: str) -> str:
     return (
         f"atan2(sin(radians(({d})-({b})))*cos(radians({c})), cos(radians({a}))*sin(radians({c})) - "

@@ -97,3 +97,32 @@ def test_payments_do_not_depend_on_batches(spark):
         out = jobs.payments_once(run.stream(spark, run.write_source(p, n, "ts", in_order=True), p, 1))
         got = [(r["order_id"], r["type"]) for r in spark.read.option("basePath", out).parquet(f"{out}/b=*").collect()]
         assert len(got) == len(set(got)) and set(got) == {r[:2] for r in rows}
+
+
+def test_requests_wait_for_a_driver(spark):
+    """One driver comes online between two ticks; who is still patient then gets the seat."""
+    at = (31.1, 75.4, 31.3, 75.6)
+    riders = [(1, "x", 1, True, *at, 0, 600), (2, "x", 1, True, *at, 1, 60), (3, "x", 1, True, *at, 300, 600), (4, "x", 1, True, *at, 301, 600)]
+    r = spark.createDataFrame(riders, "rider_id bigint, city string, seats int, identity_ok boolean, o_lat double, o_lon double, d_lat double, d_lon double, dep_s bigint, patience_s bigint")
+    v = spark.createDataFrame(
+        [(7, "x", 3, True, True, False, *at, 200, 200)],
+        "driver_id bigint, city string, capacity int, identity_ok boolean, vehicle_ok boolean, safety_flag boolean, o_lat double, o_lon double, d_lat double, d_lon double, dep_s bigint, online_s bigint")
+    path = run.write_source(r.filter("rider_id < 3"), 1, "dep_s", in_order=True)
+    r.filter("rider_id >= 3").coalesce(1).write.mode("append").parquet(path)
+    out = jobs.dispatch_ticks(run.stream(spark, path, r, 1), v)
+    got = sorted((x["b"], x["rider_id"]) for x in spark.read.option("basePath", out).parquet(f"{out}/b=*").collect())
+    assert got == [(1, 1), (1, 3), (1, 4)]
+
+
+def test_a_trip_takes_a_second_later_rider(spark):
+    nodes = spark.createDataFrame([(i, 31.0, 75.0 + i / 100) for i in range(8)], "node int, lat double, lon double")
+    od = spark.createDataFrame([(a, b, abs(a - b) * 1.0, abs(a - b) * 60.0) for a in range(8) for b in range(8) if a != b], "src int, dst int, km double, s double")
+    trips = spark.createDataFrame(
+        [(1, 0, 4, 0, 7, [(50, 1, 6, 1)], [1, 2], 0)],
+        "driver_id bigint, town int, capacity int, v_o int, v_d int, riders array<struct<rider_id:bigint,r_o:int,r_d:int,seats:int>>, stops array<int>, dep_s bigint")
+    asked = [(60, 0, 2, 5, 1, 0), (61, 0, 3, 4, 1, 500)]
+    r = spark.createDataFrame(asked, "rider_id bigint, town int, o_node int, d_node int, seats int, dep_s bigint")
+    out = jobs.insertion_ticks(run.stream(spark, run.write_source(r, 2, "dep_s", in_order=True), r, 1), trips, nodes, od, {"detour_km": 15.0, "detour_time_s": 900.0}, 8.0)
+    got = {(x["b"], x["rider_id"]): x["stops"] for x in spark.read.option("basePath", out).parquet(f"{out}/b=*").collect()}
+    assert sorted(got) == [(0, 60), (1, 61)]
+    assert sorted(map(int, got[1, 61].split(">"))) == [1, 2, 3, 4, 5, 6]
