@@ -170,18 +170,27 @@ def confusion(pairs: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> Dat
 
 
 def pruning_report(kept: DataFrame, methods: Sequence[str]) -> DataFrame:
-    """Pruned share, losses, and ranking agreement of every pruner with the full routing result."""
+    """Pruned share, losses, and ranking agreement of every pruner with the full routing result.
+
+    Counts are one aggregate over all pairs with a column per method, the full ranking is the same for all methods and
+    made once, and only pairs that a method keeps are repeated for it.
+    """
     c = F.col
-    flags = F.array(*[F.struct(F.lit(m).alias("method"), c(f"keep_{m}").alias("keep")) for m in methods])
-    long = kept.select("rider_id", "driver_id", "feasible", "score", F.inline(flags))
-    counts = long.groupBy("method").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if("keep").alias("routed"), F.count_if("feasible").alias("feasible"),
-        F.count_if(~c("keep") & c("feasible")).alias("false_negatives"), F.count_if(c("keep") & ~c("feasible")).alias("false_positives"))
-    riders = long.groupBy("method", "rider_id").agg(F.count_if("feasible").alias("relevant"))
-    good = long.filter(c("score") > 0)
+    keep = lambda m: c(f"keep_{m}")
+    sums = kept.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("feasible").alias("feasible"), *[
+        n.alias(f"{kind}_{m}") for m in methods for kind, n in (
+            ("routed", F.count_if(keep(m))), ("fn", F.count_if(~keep(m) & c("feasible"))), ("fp", F.count_if(keep(m) & ~c("feasible"))))])
+    counts = sums.select(F.inline(F.array(*[F.struct(
+        F.lit(m).alias("method"), c("pairs"), c(f"routed_{m}").alias("routed"), c("feasible"), c(f"fn_{m}").alias("false_negatives"), c(f"fp_{m}").alias("false_positives"))
+        for m in methods])))
+    each = F.explode(F.array(*[F.lit(m) for m in methods])).alias("method")
+    riders = kept.groupBy("rider_id").agg(F.count_if("feasible").alias("relevant")).select(each, "rider_id", "relevant")
+    good = kept.filter(c("score") > 0)
     order = [F.desc("score"), c("driver_id")]
-    full = top_k(good, 3, ["method", "rider_id"], order)
-    mine = top_k(good.filter("keep"), 3, ["method", "rider_id"], order)
+    full = top_k(good, 3, ["rider_id"], order).select(each, "rider_id", "driver_id", "feasible", "score", "rank")
+    kept_by = F.array_compact(F.array(*[F.when(keep(m), F.lit(m)) for m in methods]))
+    mine = good.select(F.explode(kept_by).alias("method"), "rider_id", "driver_id", "feasible", "score")
+    mine = top_k(mine, 3, ["method", "rider_id"], order)
     agree = agreement(full, mine, riders.select("method", "rider_id"), ("method", "rider_id"))
     hit = mine.filter("feasible").groupBy("method", "rider_id").agg(
         F.count_if(c("rank") == 1).alias("h1"), F.count(F.lit(1)).alias("h3"), F.sum(_log2_discount(c("rank"))).alias("dcg"), F.min("rank").alias("first"))
