@@ -55,10 +55,11 @@ def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     leaves = leaves.withColumn("rank", F.row_number().over(by))
     if branches is not None:
         leaves = leaves.where(F.col("rank") <= branches)
-    paths = leaves.select("booking_id", "root", F.col("id").alias("leaf"), "rank", "score", F.col("depth").alias("position"), "id")
+    paths = cut_lineage(leaves.select("booking_id", "root", F.col("id").alias("leaf"), "rank", "score", F.col("depth").alias("position"), "id"))
     for k, jump in enumerate(jumps):
+        # ids only, written every round: a plan that keeps its union would double with each of them
         up = _same(paths, jump, "id", "id").select("booking_id", "root", "leaf", "rank", "score", (F.col("position") - (1 << k)).alias("position"), F.col("above").alias("id"))
-        paths = paths.union(up)
+        paths = cut_lineage(paths.union(up))
     return paths
 
 
