@@ -277,12 +277,14 @@ SAMPLE_PAGES, SAMPLE_CHARS, LAYOUTS = 200, 100_000, 400
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, layouts: int = LAYOUTS) -> Model:
-    """Model trained on labelled layouts filled with the block texts of at most ``sample_pages`` pages, chosen by a hash of their id.
+    """Model trained on labelled layouts filled with the block texts of at most ``sample_pages`` distinct pages, chosen by their hash.
 
     Only the training sample is bounded (in pages and in their length), not the pages that the model is applied to.
     """
-    rows = packed(pages, "page_id", "html").where(F.length("html") <= SAMPLE_CHARS)
-    chosen = rows.orderBy(F.xxhash64("page_id"), "html").select("html").limit(sample_pages).collect()
+    rows = packed(pages, "page_id", "html").where(F.length("html") <= SAMPLE_CHARS).select("html", F.xxhash64("page_id", "html").alias("h"))
+    low = rows.select("h").distinct().orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]
+    # hashes are chosen first, so that only the sample's pages leave the executors
+    chosen = rows.where(F.col("h") <= F.lit(low)).dropDuplicates(["h"]).orderBy("h").collect() if low is not None else []
     texts = sorted({t for r in chosen for _, t in Dom(r["html"]).segments if len(t) < 2000}) or ["No text was found on any page."]
     rng = random.Random(5)
     return train([labelled_page(texts, rng) for _ in range(layouts)])
