@@ -111,8 +111,9 @@ def near_groups(messages: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = components(links).withColumnRenamed("node", "fingerprint")
     degree = links.select(F.explode(F.array("u", "v")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_links"))
     of = classes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    named = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = of.join(named, "root").join(degree, "fingerprint", "left").select("fingerprint", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # both are written, so that the joins read plain shuffles on either side, of which Spark splits a large group's
+    named = cut_lineage(of.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    of = cut_lineage(of.join(named, "root").join(degree, "fingerprint", "left").select("fingerprint", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     return rows.join(of, "fingerprint").select("id", "fingerprint", "component_id", "n_links")
 
 

@@ -85,7 +85,8 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.within_radius(classes.select(F.col("fp").alias("fingerprint")))
     ends = pairs.select(F.explode(F.array(F.struct(F.col("fingerprint_a").alias("fp"), F.col("fingerprint_b").alias("other")), F.struct(F.col("fingerprint_b").alias("fp"), F.col("fingerprint_a").alias("other")))).alias("e")).select("e.*")
     near = ends.join(classes.withColumnRenamed("fp", "other"), "other").groupBy("fp").agg(F.count("*").alias("n_near"), F.min("first_id").alias("near_id"))
-    classes = classes.join(near, "fp", "left").select("fp", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.least("first_id", "near_id").alias("near_id"))
+    # written, so that the join of rows reads plain shuffles on both sides, of which Spark splits a large group's
+    classes = cut_lineage(classes.join(near, "fp", "left").select("fp", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.least("first_id", "near_id").alias("near_id")))
     return rows.join(after, "next_id", "left").join(classes, "fp").select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", hex64(F.col("fp")).alias("fingerprint"), hex64(F.col("edited_fp")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
