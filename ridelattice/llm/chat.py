@@ -46,9 +46,10 @@ def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     while not far.where("above IS NOT NULL").isEmpty():
         jumps.append(far.where("above IS NOT NULL").select("booking_id", "id", "above"))
         on = far.select("booking_id", "id", F.col("above").alias("next"), F.col("score").alias("more"), F.col("depth").alias("deeper"), F.col("root").alias("top"))
-        far = cut_lineage(_same(far, on, "above", "id", "left").select(
-            "booking_id", "id", F.col("next").alias("above"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-            (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth"), F.coalesce("top", "root").alias("root")))
+        # only pointers that have not reached their root are joined
+        moved = _same(far.where("above IS NOT NULL"), on, "above", "id").select(
+            "booking_id", "id", F.col("next").alias("above"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("deeper")).alias("depth"), F.col("top").alias("root"))
+        far = cut_lineage(far.where("above IS NULL").union(moved))
     parents = jumps[0].select("booking_id", F.col("above").alias("parent")).distinct().withColumn("p", F.lit(True)) if jumps else None
     leaves = far if parents is None else _same(far, parents, "id", "parent", "left").where("p IS NULL")
     by = Window.partitionBy("booking_id", "root").orderBy(F.col("score").desc(), "id")
