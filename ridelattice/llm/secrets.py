@@ -19,11 +19,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 
-#: Parts that mean little alone. A secret mixes upper case, lower case and digits; an identifier is named as one or is
-#: a capital code; an endpoint is a host with a scheme.
+#: Parts that mean little alone. A secret mixes upper case, lower case and digits, is a UUID, or has a piece of 16 letters
+#: and digits with both of them (base32, lower-case keys); an identifier is named as one or is a capital code; an endpoint
+#: is a host with a scheme.
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 IDENTIFIER = re.compile(
     r'''(?<![A-Za-z0-9])(?:(?i:access[_-]?key(?:[_-]?id)?|client[_-]?id|account(?:[_-]?id)?|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}|[A-Z]{2}(?=[A-Z0-9]*[0-9])[A-Z0-9]{10,30}(?![A-Za-z0-9]))''', re.A)
+#: A name that says that a key follows; it stands for an identifier even where the key is part of the match.
+KEY_NAME = re.compile(r"""(?<![A-Za-z0-9])access[_-]?key["']?\x20*[:=]""", re.I | re.A)
 ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://)[A-Za-z0-9._~-]+(?::[0-9]{1,5})?[A-Za-z0-9/._~%-]*", re.A)
 #: Code points within which the parts of one credential stand.
 SCOPE = 200
@@ -31,6 +34,8 @@ SCOPE = 200
 _HEX_MAP = bytes(ord("h") if c in b"0123456789abcdef" else ord(" ") for c in range(256))
 _WORD_MAP = bytes(ord("h") if chr(c).isascii() and (chr(c).isalnum() or c in b"+/_=-") else ord(" ") for c in range(256))
 _DIGIT = re.compile("[0-9]")
+_UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I | re.A)
+_PIECE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -45,16 +50,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def weak_parts(text: str) -> list[tuple[str, int, int]]:
-    """Kind, start and end of what is a credential's part only beside its complement. No secret, no parts."""
-    if b"h" * 16 not in text.encode("utf-8", "replace").translate(_WORD_MAP) or not _DIGIT.search(text):
+def _keylike(s: str) -> bool:
+    return any(c.islower() for c in s) and any(c.isupper() for c in s) and any(c.isdigit() for c in s) or bool(_UUID.fullmatch(s) or _PIECE.search(s))
+
+
+def weak_parts(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Kind, start and end of what is a credential's part only beside its complement, and of partners that are not reported
+    again: ``secret+`` and ``identifier+``, from the plain matches ``strong`` and from names. No secret of either sort, no parts.
+    """
+    found = [("secret+", s, e) for k, s, e in strong if k in ("assign", "hex")]
+    if b"h" * 16 in text.encode("utf-8", "replace").translate(_WORD_MAP) and _DIGIT.search(text):
+        found += [("secret", *m.span()) for m in SECRET.finditer(text) if _keylike(m[0]) and not any(s <= m.start() and m.end() <= e for _, s, e in strong)]
+    if not found:
         return []
-    mixed = lambda s: any(c.islower() for c in s) and any(c.isupper() for c in s) and any(c.isdigit() for c in s)
-    found = [("secret", *m.span()) for m in SECRET.finditer(text) if mixed(m[0])]
-    if found:
-        found += [("identifier", *m.span()) for m in IDENTIFIER.finditer(text) if any(c.isdigit() for c in m[0]) or not m[0].isalnum()]
-        found += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
-    return found
+    names = [m.span() for m in IDENTIFIER.finditer(text) if any(c.isdigit() for c in m[0]) or not m[0].isalnum()]
+    known = [("identifier+" if any(a < e and s < b for _, a, b in strong) else "identifier", s, e) for s, e in names]
+    known += [("identifier+", s, e) for k, s, e in strong if k == "access"] + [("identifier+", *m.span()) for m in KEY_NAME.finditer(text)]
+    return found + known + [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)] if known else []
 
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"
@@ -66,9 +78,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, weak = [], []
         for text in b["content"]:
             strong = base_spans(text)
-            free = [p for p in weak_parts(text) if not any(p[1] < e and s < p[2] for _, s, e in strong)]
             base.append(as_rows(strong))
-            weak.append(as_rows(free + [("identifier+", s, e) for k, s, e in strong if k == "access"] if free else []))
+            weak.append(as_rows(weak_parts(text, strong)))
         yield pd.DataFrame({"id": b["id"], "hash": b["hash"], "base": base, "weak": weak})
 
 
@@ -78,20 +89,23 @@ KEY = ["id", "hash"]
 def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``id``, ``hash`` and ``linked``, the weak parts that a complement stands beside.
 
-    ``parts``: ``id`` and ``hash`` of a text, ``kind``, ``start``, ``end``. A secret and an identifier link if at most
-    ``scope`` code points lie between them; an endpoint is taken if it stands that near to such a secret. The intervals are
-    joined on text buckets one scope wide, of which a part enters those it can reach, so the join is on an equal bucket of
-    an equal text, and a text with any number of parts is spread over its buckets.
+    ``parts``: ``id`` and ``hash`` of a text, ``kind``, ``start``, ``end``. A secret and an identifier link if they do not overlap and
+    at most ``scope`` code points lie between them; an endpoint is taken if it stands that near to such a secret. Kinds with a
+    ``+`` link like those without, and are not reported again. The intervals are joined on text buckets one scope wide, of
+    which a part enters those it can reach, so the join is on an equal bucket of an equal text, and a text with any number of
+    parts is spread over its buckets.
     """
     reach = F.sequence(F.floor((F.col("start") - scope) / scope).cast("int"), F.floor((F.col("end") + scope) / scope).cast("int"))
     own = F.sequence(F.floor(F.col("start") / scope).cast("int"), F.floor(F.col("end") / scope).cast("int"))
-    secrets = parts.where("kind = 'secret'").select(*KEY, F.col("start").alias("s"), F.col("end").alias("e"), F.explode(reach).alias("bucket"))
-    others = parts.where("kind <> 'secret'").select(*KEY, "kind", "start", "end", F.explode(own).alias("bucket"))
+    secret = F.col("kind").startswith("secret")
+    secrets = parts.where(secret).select(*KEY, F.col("kind").alias("as"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(reach).alias("bucket"))
+    others = parts.where(~secret).select(*KEY, "kind", "start", "end", F.explode(own).alias("bucket"))
     near = (F.col("start") <= F.col("e") + scope) & (F.col("s") <= F.col("end") + scope)
-    pairs = _same(others, secrets, "bucket").where(near).select(*KEY, "kind", "start", "end", "s", "e").distinct()
-    proven = pairs.where("kind LIKE 'identifier%'").select(*KEY, "s", "e").distinct()
-    taken = _same(pairs, proven, "s", "e").where("kind <> 'identifier+'").select(*KEY, "kind", "start", "end")
-    taken = taken.union(proven.select(*KEY, F.lit("secret"), F.col("s"), F.col("e"))).distinct()
+    apart = (F.col("start") >= F.col("e")) | (F.col("s") >= F.col("end")) | (F.col("kind") == "endpoint")
+    pairs = _same(others, secrets, "bucket").where(near & apart).select(*KEY, "kind", "start", "end", "as", "s", "e").distinct()
+    proven = pairs.where("kind LIKE 'identifier%'").select(*KEY, "as", "s", "e").distinct()
+    taken = _same(pairs, proven, "as", "s", "e").where("kind <> 'identifier+'").select(*KEY, "kind", "start", "end")
+    taken = taken.union(proven.where(F.col("as") == "secret").select(*KEY, "as", "s", "e")).distinct()
     return taken.groupBy(*KEY).agg(F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
 
 
@@ -122,7 +136,8 @@ def message_secrets(messages: DataFrame, scope: int = SCOPE) -> DataFrame:
     ``messages``: rows with ``id`` and ``content``; further columns are ignored, whatever their names. ``base`` holds the
     plain matches (assignments, access ids, long hex digits), ``spans`` these and the linked parts of credentials whose
     access identifier, secret and endpoint stand apart: see :func:`linked_parts`. Positions are code points, ends
-    exclusive; spans are in order of start, then of kind as in ``KINDS``. Spans of different kinds may overlap.
+    exclusive; spans are in order of start, then of kind as in ``KINDS``. Spans of different kinds may overlap. An assignment or
+    a long hex number is a secret, an access id an identifier, that other parts link to.
 
     A null or empty content has none; a null id stays null; repeated rows have equal spans; an empty table gives no rows.
     """

@@ -320,6 +320,24 @@ def test_weak_parts_need_each_other(spark):
     assert hidden[2] == rows[1][1] and key not in hidden[1] and hidden[5] == "[secret] [secret]"
 
 
+def test_plain_matches_link_to_the_parts_beside_them(spark):
+    hexes, uuid = "0123456789abcdef" * 2, "123e4567-e89b-42d3-a456-426614174000"
+    rows = [(1, "username: bob1 password: Hunter2222 at https://h.example.org"), (2, f"client_id: app-77 {hexes}"), (3, f"client_id={hexes} secret=Hunter2222 https://h.example.org"),
+            (4, "password: Hunter2222 at https://h.example.org"), (5, f"client_id: {hexes}"), (6, "username: bob1 at https://h.example.org"),
+            *[(i, f"user: bob1 {key}") for i, key in enumerate([uuid, "JBSWY3DPEHPK3PXP", "sk_live_4ec39hqlyjwd8x7z2"], 7)], (10, f"{uuid} alone"), (11, f"client_id: {uuid}"), (12, "user: bob1 a-plain-slug-of-2024-01-01")]
+    text, got = dict(rows), spans(secrets.message_secrets(messages(spark, rows)))
+    said = {i: [(k, text[i][s:e]) for k, s, e in found] for i, found in got.items()}
+    assert said[1] == [("identifier", "username: bob1"), ("assign", "password: Hunter2222"), ("endpoint", "https://h.example.org")]
+    assert said[2] == [("identifier", "client_id: app-77"), ("hex", hexes)]
+    assert said[3] == [("hex", hexes), ("assign", "secret=Hunter2222"), ("endpoint", "https://h.example.org")]
+    assert [k for k, _ in said[4]] == ["assign"] and [k for k, _ in said[5]] == ["hex"] and said[6] == []
+    for i in (7, 8, 9):
+        assert ("identifier", "user: bob1") in said[i] and ("secret", text[i][11:]) in said[i]
+    assert said[10] == said[11] == said[12] == []
+    hidden = {r["id"]: r["content"] for r in secrets.hide_secrets(messages(spark, rows)).collect()}
+    assert hidden[1] == "[secret] [secret] at [secret]" and hidden[2] == "[secret] [secret]" and hidden[7] == "[secret] [secret]"
+
+
 # packing
 
 def test_tournament_equals_first_fit():
