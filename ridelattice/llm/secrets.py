@@ -22,7 +22,8 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 #: Parts that mean little alone. A secret mixes upper case, lower case and digits, is a UUID, or has a piece of 16 letters
 #: and digits with both of them (base32, lower-case keys); an identifier is named as one or is a capital code; an endpoint
 #: is a host with a scheme.
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: It may begin after an equals sign, as in KEY=value; in a URL its plus, slash and equals signs are percent-encoded.
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_%-])(?:[A-Za-z0-9+/_-]|%(?:2[BbFf]|3[Dd])){16,}={0,2}(?![A-Za-z0-9+/_=-])")
 IDENTIFIER = re.compile(
     r'''(?<![A-Za-z0-9])(?:(?i:access[_-]?key(?:[_-]?id)?|client[_-]?id|account(?:[_-]?id)?|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}|[A-Z]{2}(?=[A-Z0-9]*[0-9])[A-Z0-9]{10,30}(?![A-Za-z0-9]))''', re.A)
 #: A name that says that a key follows; it stands for an identifier even where the key is part of the match.
@@ -32,7 +33,7 @@ ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://)[A-Za-z0-9._~-]+(?::[0-9]{1
 SCOPE = 200
 
 _HEX_MAP = bytes(ord("h") if c in b"0123456789abcdef" else ord(" ") for c in range(256))
-_WORD_MAP = bytes(ord("h") if chr(c).isascii() and (chr(c).isalnum() or c in b"+/_=-") else ord(" ") for c in range(256))
+_WORD_MAP = bytes(ord("h") if chr(c).isascii() and (chr(c).isalnum() or c in b"+/_=-%") else ord(" ") for c in range(256))
 _DIGIT = re.compile("[0-9]")
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I | re.A)
 _PIECE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}")
