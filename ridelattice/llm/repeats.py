@@ -6,8 +6,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +15,8 @@ from ridelattice.llm.text import carried, packed, restored, text_of
 
 #: A run of repeated units goes when it has this many words together; single short phrases and licence lines stay.
 MIN_WORDS = 20
+#: What tells one text from another: rows that share an id, or have none, may differ.
+KEY = ["id", "hash"]
 #: A unit ends after a line feed, and inside a line after a sentence's full stop.
 _CUT = re.compile(r"(?<=\n)|(?<=[.!?])(?=[ \t])")
 
@@ -31,26 +31,31 @@ def _normal(unit: str) -> list[str]:
     return unit.lower().split()
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digest(words: list[str]) -> bytes:
+    return hashlib.md5(" ".join(words).encode("utf-8", "replace")).digest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, at, pos, digest = b["id"].array, [], [], []
-        for k, text in enumerate(b["content"]):
+        at, pos, digest = [], [], []
+        for k, text in enumerate(b["content"].to_pylist()):
             for i, u in enumerate(units(text)):
-                if w := " ".join(_normal(u)):
+                if w := _normal(u):
                     at.append(k)
                     pos.append(i)
-                    digest.append(hashlib.md5(w.encode("utf-8", "replace")).digest())
-            if len(at) > 200_000 or (at and k + 1 == len(b)):
-                yield pd.DataFrame({"id": ids.take(np.array(at)), "pos": np.array(pos, np.int32), "digest": digest})
+                    digest.append(_digest(w))
+            if len(at) > 200_000 or (at and k + 1 == b.num_rows):
+                of = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([b["id"].take(of), b["hash"].take(of), pa.array(pos, pa.int32()), pa.array(digest, pa.binary())], names=[*KEY, "pos", "digest"])
                 at, pos, digest = [], [], []
 
 
-def _removed(text: str, again: dict[int, bytes], min_words: int) -> list[tuple[int, int]]:
+def _removed(text: str, again: set[bytes], min_words: int) -> list[tuple[int, int]]:
     """Code point spans of the runs that go. A unit without words joins the run that it stands in."""
     spans, start, n_words, offset, end = [], None, 0, 0, 0
     for i, u in enumerate(units(text)):
         w = _normal(u)
-        if w and again.get(i) == hashlib.md5(" ".join(w).encode("utf-8", "replace")).digest():
+        if w and i.to_bytes(4, "big") + _digest(w) in again:
             start = offset if start is None else start
             n_words += len(w)
             end = offset + len(u)
@@ -70,7 +75,7 @@ def _cleaner(min_words: int):
         for b in batches:
             texts, gone = b["content"].to_pylist(), []
             for k, again in enumerate(b["again"].to_pylist()):
-                spans = _removed(texts[k], {u["pos"]: u["digest"] for u in again}, min_words) if again else []
+                spans = _removed(texts[k], set(again), min_words) if again else []
                 gone.append([{"start": s, "length": e - s} for s, e in spans])
                 for s, e in reversed(spans):
                     texts[k] = texts[k][:s] + texts[k][e:]
@@ -84,23 +89,25 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 
 
 def repeated_units(messages: DataFrame) -> DataFrame:
-    """``id`` and ``again``, the units (``pos``, ``digest``) of a message that occur earlier, in it or in another message.
+    """``id``, ``hash`` (XXH64 of the text) and ``again``, the units of a text that occur earlier, in it or in another one: a unit's
+    place in four bytes, then its digest.
 
-    Earlier means a smaller (``id``, ``pos``); a null id comes first. Digests are counted with a map-side combined minimum,
-    and only those found twice are joined back, so a unit in a third of all messages is spread over tasks.
+    Earlier means a smaller (``id``, ``hash``, place); a null id comes first. Digests are counted with a map-side combined
+    minimum, and only those found twice are joined back, so a unit in a third of all messages is spread over tasks. Equal
+    rows have one set of units, which is never larger than their text has.
     """
-    kind = dict(messages.dtypes)["id"]
-    rows = packed(messages, "id", "content").select("id", text_of(F.col("content")).alias("content"))
-    found = rows.mapInPandas(_digests, f"id {kind}, pos int, digest binary")
-    first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1")
-    again = found.join(first.select("digest", "first"), "digest").where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
-    return again.groupBy("id").agg(F.collect_list(F.struct("pos", "digest")).alias("again"))
+    rows = packed(messages, "id", "content").select("id", text_of(F.col("content")).alias("content")).withColumn("hash", F.xxhash64("content"))
+    found = rows.mapInArrow(_digests, f"id {dict(messages.dtypes)['id']}, hash bigint, pos int, digest binary")
+    first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "pos")).alias("first")).where("n > 1")
+    again = found.join(first.select("digest", "first"), "digest").where(~F.struct(*KEY, "pos").eqNullSafe(F.col("first")))
+    unit = F.concat(F.unhex(F.lpad(F.hex("pos"), 8, "0")), "digest")
+    return again.groupBy(*KEY).agg(F.collect_set(unit).alias("again"))
 
 
 def _cleaned(messages: DataFrame, min_words: int) -> DataFrame:
-    rows = carried(messages)
-    again = repeated_units(messages).withColumnRenamed("id", "of")
-    joined = rows.join(again, F.col("id").eqNullSafe(F.col("of")), "left").select("rest", "id", "content", "again")
+    rows = carried(messages).withColumn("hash", F.xxhash64("content"))
+    again = repeated_units(messages).withColumnsRenamed({"id": "of", "hash": "text"})
+    joined = rows.join(again, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("text")), "left").select("rest", "id", "content", "again")
     return joined.mapInArrow(_cleaner(min_words), T.StructType([*joined.drop("again").schema, T.StructField("removed", SPANS)]))
 
 
@@ -110,11 +117,11 @@ def without_repeats(messages: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     ``messages``: rows with ``id`` and ``content``; further columns are ignored, whatever their names. One row per input
     row: ``id``, ``content`` (what stays) and ``removed`` (``start`` and ``length`` of every passage taken out, in code
     points of the original). Units are lines, cut at sentence ends, compared in lower case with white space normalised;
-    the occurrence with the smallest (``id``, place) stays. A unit that occurs earlier goes if the run of such units around
+    the occurrence with the smallest (``id``, XXH64 of the text, place) stays. A unit that occurs earlier goes if the run of such units around
     it has ``min_words`` words or more.
 
-    A null content is empty and loses nothing; a null id ranks before all others. Rows that share an id are ranked alike:
-    equal ones keep the same text. A text may become empty, its row stays. An empty table gives no rows.
+    A null content is empty and loses nothing; a null id ranks before all others. Rows with equal id and text
+    keep the same text; different texts under one id, or without an id, are ranked by their hash. A text may become empty, its row stays. An empty table gives no rows.
     """
     return _cleaned(messages, min_words).select("id", "content", "removed")
 

@@ -295,6 +295,19 @@ def test_repeats_against_brute_force(spark):
     assert {r["id"]: r["content"] for r in repeats.without_repeats(documents(spark)).collect()} == want
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    a, b, c = [" ".join(f"{w}{i}" for i in range(30)) + "." for w in ("alpha", "beta", "gamma")]
+    got = repeats.without_repeats(messages(spark, [(0, f"{a}\n{b}"), (1, a), (1, b), (1, b)])).collect()
+    assert [r["content"] for r in got if r["id"] == 1] == ["", "", ""]
+    for i in (3, None):  # different texts of one id: every passage stays once
+        rows = [(i, f"{a}\n{b}"), (i, b), (i, f"{c}\n{a}"), (i, c), (2**53 + 1, a), (2**53 + 1, c)]
+        out = repeats.without_repeats(messages(spark, rows).coalesce(1)).collect()
+        assert len(out) == 6 and [sum(x in r["content"] for r in out) for x in (a, b, c)] == [1, 1, 1]
+        assert all(r["content"] == "" for r in out if r["id"] not in (3, None))
+    units = repeats.repeated_units(messages(spark, [(0, a), *[(None, f"{b}\n{b}")] * 50])).collect()
+    assert [len(r["again"]) for r in units] == [1]
+
+
 # secrets
 
 def spans(df):
