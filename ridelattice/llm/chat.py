@@ -28,28 +28,61 @@ def _same(a: DataFrame, b: DataFrame, left: str, right: str, how: str = "inner")
     return a.join(b, a["booking_id"].eqNullSafe(b["_booking"]) & (a[left] == b["_key"]), how).drop("_booking", "_key")
 
 
+def _pointers(far: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """Every message with its root, the pointers of each round of doubling, and the messages that never reach a root, if any.
+
+    A round brings at least the messages of the next depths to their roots, so what is open when a round brings none is in a
+    loop or answers one.
+    """
+    jumps, before = [], None
+    while n := far.where("above IS NOT NULL").count():
+        if n == before:
+            return far, jumps, far.where("above IS NOT NULL").select("booking_id", "id")
+        before = n
+        jumps.append(far.where("above IS NOT NULL").select("booking_id", "id", "above"))
+        on = far.select("booking_id", "id", F.col("above").alias("next"), F.col("score").alias("more"), F.col("depth").alias("deeper"), F.col("root").alias("top"))
+        # only pointers that have not reached their root are joined
+        moved = _same(far.where("above IS NOT NULL"), on, "above", "id").select(
+            "booking_id", "id", F.col("next").alias("above"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("deeper")).alias("depth"), F.col("top").alias("root"))
+        far = cut_lineage(far.where("above IS NULL").union(moved))
+    return far, jumps, None
+
+
+def _loop_starts(edges: DataFrame) -> DataFrame:
+    """``booking_id`` and ``id`` of the smallest message on every loop. ``edges``: messages that are in a loop or answer one.
+
+    After as many steps as a booking has messages every pointer stands on a loop, and the smallest id on the way is known.
+    """
+    size = edges.groupBy("booking_id").count().agg(F.max("count")).first()[0]
+    far = cut_lineage(edges.select("booking_id", "id", "above", F.col("id").alias("low")))
+    for _ in range((size - 1).bit_length()):
+        on = far.select("booking_id", "id", F.col("above").alias("next"), F.col("low").alias("lower"))
+        far = cut_lineage(_same(far, on, "above", "id").select("booking_id", "id", F.col("next").alias("above"), F.least("low", "lower").alias("low")))
+    return _same(far.where("id = low"), far.select("booking_id", "above").distinct(), "id", "above").select("booking_id", "id")
+
+
 def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """Root-to-leaf paths of the reply trees: ``booking_id``, ``root``, ``leaf``, ``rank``, ``score``, ``position``, ``id``.
 
-    ``messages``: ``booking_id``, ``id`` (unique in a booking), ``reply_to``, ``rating``. A message whose ``reply_to`` is null, not in
-    the booking, or not smaller than its own id begins a tree, so replies never form a loop. A path's score is the sum of
+    ``messages``: ``booking_id``, ``id`` (unique in a booking), ``reply_to``, ``rating``. Ids need no order.
+    A message whose ``reply_to`` is null, its own id, or not in the booking begins a tree; where replies form a loop, the message
+    with the smallest id on the loop does. A path's score is the sum of
     its ratings (null: 0); paths of a tree are ranked by score, then by leaf, and the first ``branches`` are taken, or all.
 
     Self-joins double the reach of every message's pointer to an ancestor, so a tree of depth d takes log d rounds and
     no message carries its path. Chosen paths are then unrolled from their leaves through the pointers of all rounds.
     """
-    nodes = packed(messages, "booking_id", "id", "reply_to", "rating").select("booking_id", "id", F.when(F.col("reply_to") < F.col("id"), F.col("reply_to")).alias("reply_to"), F.coalesce(F.col("rating").cast("double"), F.lit(0.0)).alias("score"))
+    nodes = packed(messages, "booking_id", "id", "reply_to", "rating").select("booking_id", "id", F.when(F.col("reply_to") != F.col("id"), F.col("reply_to")).alias("reply_to"), F.coalesce(F.col("rating").cast("double"), F.lit(0.0)).alias("score"))
     there = nodes.select("booking_id", "id", F.col("id").alias("above"))
     nodes = _same(nodes, there, "reply_to", "id", "left")
-    far = cut_lineage(nodes.select("booking_id", "id", "above", "score", F.lit(1).cast("long").alias("depth"), F.coalesce("above", "id").alias("root")))
-    jumps = []
-    while not far.where("above IS NOT NULL").isEmpty():
-        jumps.append(far.where("above IS NOT NULL").select("booking_id", "id", "above"))
-        on = far.select("booking_id", "id", F.col("above").alias("next"), F.col("score").alias("more"), F.col("depth").alias("deeper"), F.col("root").alias("top"))
-        # only pointers that have not reached their root are joined
-        moved = _same(far.where("above IS NOT NULL"), on, "above", "id").select(
-            "booking_id", "id", F.col("next").alias("above"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("deeper")).alias("depth"), F.col("top").alias("root"))
-        far = cut_lineage(far.where("above IS NULL").union(moved))
+    start = cut_lineage(nodes.select("booking_id", "id", "above", "score", F.lit(1).cast("long").alias("depth"), F.coalesce("above", "id").alias("root")))
+    far, jumps, loops = _pointers(start)
+    if loops is not None:
+        begins = _loop_starts(_same(start, loops, "id", "id").select("booking_id", "id", "above")).withColumn("begins", F.lit(True))
+        kept = F.col("begins").isNull()
+        start = cut_lineage(_same(start, begins, "id", "id", "left").select(
+            "booking_id", "id", F.when(kept, F.col("above")).alias("above"), "score", "depth", F.when(kept, F.col("root")).otherwise(F.col("id")).alias("root")))
+        far, jumps, _ = _pointers(start)
     parents = jumps[0].select("booking_id", F.col("above").alias("parent")).distinct().withColumn("p", F.lit(True)) if jumps else None
     leaves = far if parents is None else _same(far, parents, "id", "parent", "left").where("p IS NULL")
     by = Window.partitionBy("booking_id", "root").orderBy(F.col("score").desc(), "id")

@@ -441,6 +441,19 @@ def test_a_deep_thread_takes_few_rounds(spark):
     assert r["score"] == 70.0 and re.findall(r"\[SAYS\](\d+)", r["formatted"]) == [str(i) for i in range(1, 71)]
 
 
+def test_ids_need_no_order_and_only_loops_are_broken(spark):
+    chain = ["msg_f0", "msg_3a", "msg_b7", "msg_01", "msg_9c", "msg_77", "msg_ee"]
+    rows = [turn(1, i, to, "user", i, 1.0) for i, to in zip(chain, [None, *chain], strict=False)]
+    # a loop z > m > c > z that a1 answers and t2 answers a1, beside a tree; and a loop of two without a booking
+    rows += [turn(2, i, to, "user", i, 1.0) for i, to in [("z", "m"), ("c", "z"), ("m", "c"), ("t2", "a1"), ("a1", "z"), ("x", None), ("b", "x"), ("s", "s")]]
+    rows += [turn(None, i, to, "user", i, 1.0) for i, to in [("q", "p"), ("p", "q")]]
+    df = spark.createDataFrame(rows, CHAT.replace("id bigint, reply_to bigint", "id string, reply_to string"))
+    got = {(r["booking_id"], r["leaf"]): (r["root"], r["score"], re.findall(r"\[SAYS\](\w+)", r["formatted"])) for r in chat.format_threads(df, None).collect()}
+    assert got == {
+        (1, "msg_ee"): ("msg_f0", 7.0, chain), (2, "t2"): ("c", 5.0, ["c", "m", "z", "a1", "t2"]), (2, "b"): ("x", 2.0, ["x", "b"]), (2, "s"): ("s", 1.0, ["s"]),
+        (None, "q"): ("p", 2.0, ["p", "q"])}
+
+
 @pytest.mark.parametrize("text", ["", "<", "[\\", "\\\\<[", "plain"])
 def test_escape_round_trip(spark, text):
     r = spark.createDataFrame([(text,)], "t string").select(chat.unescaped(chat.escaped(F.col("t"))).alias("t"), chat.escaped(F.col("t")).alias("e")).first()
