@@ -367,16 +367,10 @@ def chained_detours(spark, sf, p: DataFrame, scenario: str) -> DataFrame:
     })
 
 
-def tight_pairs(spark, sf) -> DataFrame:
-    """Net pairs a routing pass is worth running for: admissible bound with tight limits."""
-    t = {"pickup_km": 1.0, "dest_km": 11.5, "detour_km": 15.0, "time_diff_min": 10.0}
-    p = road_batch(spark, sf).filter(pruning.pruner("admissible_bound", t)).filter(F.col("direction_sim") >= pruning.MIN_DIRECTION)
-    return p.select("driver_id", "rider_id", "v_dep_s", "v_o_node", "v_d_node", "r_o_node", "r_d_node")
-
-
 @query("r12_dynamic_detour")
 def r12(spark, sf):
-    return chained_detours(spark, sf, tight_pairs(spark, sf), "moderate_congestion").select("driver_id", "rider_id", "dyn_detour_km", "dyn_detour_s", "penalty_s")
+    p = road_batch(spark, sf).select("driver_id", "rider_id", "v_dep_s", "v_o_node", "v_d_node", "r_o_node", "r_d_node")
+    return chained_detours(spark, sf, p, "moderate_congestion").select("driver_id", "rider_id", "dyn_detour_km", "dyn_detour_s", "penalty_s")
 
 
 @query("r14_incident_arrival")

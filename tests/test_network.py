@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridelattice.operators import network
+from ridelattice.plans import network as plans
 
 
 def random_graph(seed, n=14, m=40):
@@ -115,3 +116,10 @@ def test_ranked_element(spark):
     df = spark.createDataFrame([("a", x) for x in v], "k string, v double")
     got = network.ranked_element(df, ["k"], "v", 0.95, 0.01, "p").first()
     assert got.p == sorted(v)[int(len(v) * 0.95)] and got.n == len(v)
+
+
+def test_dynamic_detours_cover_every_road_pair(spark):
+    sf = "/root/testdata/sf0.001"
+    pairs = {(r["driver_id"], r["rider_id"]) for r in plans.road_batch(spark, sf).select("driver_id", "rider_id").collect()}
+    rows = plans.r12(spark, sf).collect()
+    assert len(rows) == len(pairs) > 0 and {(r["driver_id"], r["rider_id"]) for r in rows} == pairs
