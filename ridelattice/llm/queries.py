@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridelattice.llm import bpe, chat, counts, fingerprints, html, neardup, packing, quality, repeats, secrets
+from ridelattice.llm import bpe, chat, counts, fingerprints, html, neardup, packing, quality, repair, repeats, resample, secrets, suffixes
 from ridelattice.llm.text import hex64, read
 from ridelattice.session import cut_lineage
 
@@ -173,3 +173,112 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = messages(spark, sf_dir)
     return counts.edited_token_counts(rows, document_edits(rows)).select(
         F.col("id").alias("doc_id"), "n_chars", "n_tokens", "n_edits", "edited_chars", "edited_tokens", "recoded_chars", sha(F.col("content")).alias("edited_sha256"))
+
+
+def _crc(text: str) -> str:
+    """SQL: CRC-32 of a text's bytes, with the table ``k.t`` of :data:`_CRC_TABLE`."""
+    byte = f"('0x' || hex(encode({text}))[2 * i - 1:2 * i])::BIGINT"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({text}) + 1), lambda i: {byte})),
+    lambda c, b: xor(c >> 8, k.t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+_CRC_TABLE = """k AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+@query("op11_importance_resampling", f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS w FROM d), bw AS (SELECT unnest(w) AS w FROM b),
+h AS (SELECT w, {_crc("w")} % 10000 AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM bw), k),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN h USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM bw JOIN h USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM dw) + 10000) / (CAST(s.n + 1 AS DOUBLE) * ((SELECT count(*) FROM bw) + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM dw JOIN h USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST(('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS DOUBLE) AS h FROM d LEFT JOIN m USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM y LEFT JOIN r USING (doc_id)""")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = read(spark, sf_dir, "benchmark").select(F.col("text").alias("content"))
+    return resample.resampled_messages(messages(spark, sf_dir), targets).select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query("op12_suffix_array_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 199)) AS p, h FROM d WHERE len(h) >= 400),
+w AS (SELECT doc_id, p, md5(h[2 * p + 1:2 * p + 400]) AS m FROM p),
+c AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+q AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w SEMI JOIN c USING (m)),
+i AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM q),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, run),
+k AS (SELECT doc_id, sum(b - a) AS n, count(*) AS runs, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda j:
+    h[CASE WHEN j = 0 THEN 1 ELSE 2 * b[j] + 1 END:CASE WHEN j = len(a) THEN len(h) ELSE 2 * a[j + 1] END]), '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""")
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["length"])
+    return suffixes.without_repeated_bytes(messages(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def damaged_messages(conversations: DataFrame) -> DataFrame:
+    """The conversations as booking messages, every 20th of each kind dropped, emptied, left without full stops, repeated, or given to the user."""
+    kind = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.withColumn("copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return rows.select(F.col("conv_id").alias("booking_id"), "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("sender_role"), text.alias("content"))
+
+
+def _best(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _own(state: int) -> str:
+    """SQL: the best of deleting, keeping and renaming row ``r`` in a state; ``s`` holds cost, audit and text behind it."""
+    to, name = (3, "assistant") if state == 2 else (2, "user")
+    way = lambda may, cost, x, to, role: f"{{'c': CASE WHEN {may} THEN {cost} + s[{to + 1}].c ELSE 1000000000 END, 'a': '{x}' || s[{to + 1}].a, 'o': {role} || s[{to + 1}].o}}"
+    ways = [way("true", "4", "D", state, "''"), way("NOT r.gone", "3 + r.cut", "R", to, f"chr(10) || '{name}:' || r.text")]
+    own = "chr(10) || r.role || ':' || r.text"
+    ways.append(way(f"NOT r.gone AND r.i = '{'a' if state == 2 else 'u'}'", "r.cut", "K", to, own))
+    if state == 0:
+        ways.append(way("NOT r.gone AND r.i = 's'", "r.cut", "K", 1, own))
+    return _best(*ways)
+
+
+def _put(x: str, role: str) -> str:
+    return f"{{'c': 3 + {x}.c, 'a': 'I' || {x}.a, 'o': chr(10) || '{role}:' || {x}.o}}"
+
+
+_AFTER = [_best("b[3]", _put("b[4]", "assistant")), _best("b[4]", _put("b[3]", "user"))]
+_FIRST = lambda n: _best(f"b[{n}]", _put("b[3]", "user"), _put(_put("b[4]", "assistant"), "user"))
+
+
+@query("op13_conversation_repair", f"""
+WITH {_CRC_TABLE},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS w FROM conversations),
+n AS (SELECT c.*, {_crc("w")} % 20 AS kind FROM c, k),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM n WHERE kind <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, copy) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail, role[1:1] AS i FROM m),
+g AS (SELECT *, CASE WHEN tail = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN tail NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair FROM f),
+r AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  list_reduce(list({{'i': i, 'gone': fault IN ('b', 'd'), 'cut': CASE WHEN fault = 't' THEN 3 ELSE 0 END, 'role': role, 'text': text}} ORDER BY pos DESC),
+    lambda s, r: list_transform([[{_own(0)}, {_own(1)}, {_own(2)}, {_own(3)}]], lambda b: [{_FIRST(1)}, {_FIRST(2)}, {_AFTER[0]}, {_AFTER[1]}])[1],
+    [{{'c': 0, 'a': '', 'o': ''}}, {{'c': 6, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'}}, {{'c': 3, 'a': 'I', 'o': chr(10) || 'assistant:'}}, {{'c': 0, 'a': '', 'o': ''}}])[1] AS best FROM g GROUP BY conv_id)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.o[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN r USING (conv_id)""")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = F.array_join(F.transform("repaired", lambda t: F.concat(t["sender_role"], F.lit(":"), t["content"])), "\n")
+    out = repair.repaired_threads(damaged_messages(given)).withColumn("repaired_sha256", sha(told))
+    every = given.select("conv_id").distinct()
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return every.join(out, every["conv_id"].eqNullSafe(out["booking_id"]), "left").select(
+        "conv_id", *map(none, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", sha(F.lit(""))).alias("repaired_sha256"))
