@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +60,21 @@ def weak_parts(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str,
     """Kind, start and end of what is a credential's part only beside its complement, and of partners that are not reported
     again: ``secret+`` and ``identifier+``, from the plain matches ``strong`` and from names. No secret of either sort, no parts.
     """
+    starts = sorted((s, e) for _, s, e in strong)
+    reach = list(accumulate((e for _, e in starts), max))
+
+    def before(at: int) -> int:
+        """Where the plain matches end at most that begin at ``at`` or before it."""
+        i = bisect_right(starts, at, key=lambda s: s[0])
+        return reach[i - 1] if i else -1
+
     found = [("secret+", s, e) for k, s, e in strong if k in ("assign", "hex")]
     if b"h" * 16 in text.encode("utf-8", "replace").translate(_WORD_MAP) and _DIGIT.search(text):
-        found += [("secret", *m.span()) for m in SECRET.finditer(text) if _keylike(m[0]) and not any(s <= m.start() and m.end() <= e for _, s, e in strong)]
+        found += [("secret", *m.span()) for m in SECRET.finditer(text) if _keylike(m[0]) and before(m.start()) < m.end()]
     if not found:
         return []
     names = [m.span() for m in IDENTIFIER.finditer(text) if any(c.isdigit() for c in m[0]) or not m[0].isalnum()]
-    known = [("identifier+" if any(a < e and s < b for _, a, b in strong) else "identifier", s, e) for s, e in names]
+    known = [("identifier+" if before(e - 1) > s else "identifier", s, e) for s, e in names]
     known += [("identifier+", s, e) for k, s, e in strong if k == "access"] + [("identifier+", *m.span()) for m in KEY_NAME.finditer(text)]
     return found + known + [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)] if known else []
 
@@ -73,15 +82,18 @@ def weak_parts(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str,
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     as_rows = lambda spans: [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans]
     for b in batches:
         base, weak = [], []
-        for text in b["content"]:
+        for text in b["content"].to_pylist():
             strong = base_spans(text)
             base.append(as_rows(strong))
             weak.append(as_rows(weak_parts(text, strong)))
-        yield pd.DataFrame({"id": b["id"], "hash": b["hash"], "base": base, "weak": weak})
+        yield pa.RecordBatch.from_arrays([b["id"], b["hash"], pa.array(base, _SPAN), pa.array(weak, _SPAN)], names=["id", "hash", "base", "weak"])
 
 
 KEY = ["id", "hash"]
@@ -123,7 +135,7 @@ def _found(messages: DataFrame, scope: int) -> DataFrame:
     """``id``, ``hash``, ``base`` and ``spans`` of every row."""
     kind = dict(messages.dtypes)["id"]
     rows = packed(messages, "id", "content").select("id", text_of(F.col("content")).alias("content")).withColumn("hash", F.xxhash64("content"))
-    found = cut_lineage(rows.mapInPandas(_scan, f"id {kind}, hash bigint, base {SPANS}, weak {SPANS}"))
+    found = cut_lineage(rows.mapInArrow(_scan, f"id {kind}, hash bigint, base {SPANS}, weak {SPANS}"))
     parts = found.select(*KEY, F.explode("weak").alias("w")).select(*KEY, "w.*")
     all_ = _same(found, linked_parts(parts, scope), how="left").withColumn("all", F.concat("base", F.coalesce("linked", F.array().cast(SPANS))))
     rank = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
