@@ -8,21 +8,23 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelattice.llm.text import packed, text_of
 
 # HTML's phrasing elements (text flows through them), elements that are empty or whose borders say nothing,
-# and elements whose text is never shown.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# elements whose content is raw text, and elements whose text is never shown.
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark math meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("html head area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title svg math iframe object canvas audio video select option textarea button datalist".split())
+RAW = frozenset("script style textarea title".split())
+HIDDEN = frozenset("script style noscript template title svg iframe object canvas audio video select option textarea button datalist".split())
 #: Elements that a paragraph cannot hold end it; list items and cells end their like.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _KEEPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
@@ -45,7 +47,11 @@ class Dom(HTMLParser):
         self.nodes = [Node(-1, "#page", (), [0, 0, 0, 0, 0])]
         self.segments: list[tuple[int, str]] = []
         self.stack: list[tuple[str, int]] = [("#page", 0)]
+        self.open: Counter[str] = Counter()
+        #: Elements open inside a hidden one, which is the first, and end tags still to come.
         self.hidden: list[str] = []
+        self.inside: Counter[str] = Counter()
+        self.closers = Counter(re.findall(r"</([a-z]+)", html.lower()))
         self.links = self.linked = 0
         self.text: list[str] = []
         self.feed(html)
@@ -63,15 +69,20 @@ class Dom(HTMLParser):
 
     def pop(self, to: int) -> None:
         self.end_segment()
+        self.open.subtract(tag for tag, _ in self.stack[to:])
         del self.stack[to:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.hidden:
             if tag == self.hidden[0]:
                 self.hidden.append(tag)
+            elif tag not in VOID:
+                self.inside[tag] += 1
             return
         if tag in HIDDEN:
-            self.hidden = [tag]
+            # one that nothing ends would hide the rest of the page
+            if tag in RAW or self.closers[tag] > 0:
+                self.hidden = [tag]
             return
         if tag == "br":
             self.text.append(" ")
@@ -84,31 +95,45 @@ class Dom(HTMLParser):
             return
         if self.stack[-1][0] == "p":
             self.pop(len(self.stack) - 1)
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] in _ENDS.get(tag, ()):
-                self.pop(i)
-                break
-            if self.stack[i][0] in _KEEPS.get(tag, ()):
-                break
+        if tag in _ENDS and any(self.open[x] for x in _ENDS[tag]):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i][0] in _ENDS[tag]:
+                    self.pop(i)
+                    break
+                if self.stack[i][0] in _KEEPS.get(tag, ()):
+                    break
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "aria-label", "itemprop") or k == "hidden")
         parent = self.stack[-1][1]
         self.nodes[parent].stats[4] += 1
         self.nodes.append(Node(parent, tag, tuple(dict.fromkeys(re.findall(r"[a-z]+", names.lower()))), [0, 0, 0, 0, 0]))
         self.stack.append((tag, len(self.nodes) - 1))
+        self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
+        self.closers[tag] -= 1
         if self.hidden:
             if tag == self.hidden[0]:
                 self.hidden.pop()
-            return
+                if not self.hidden:
+                    self.inside.clear()
+                return
+            if self.inside[tag] > 0:
+                self.inside[tag] -= 1
+                return
+            if self.hidden[0] in RAW or not self.open[tag]:
+                return
+            # the end of an element around a hidden one ends that too
+            self.hidden = []
+            self.inside.clear()
         if tag == "a":
             self.links = 0
         if tag in INLINE or tag in VOID:
             return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                self.pop(i)
-                return
+        if self.open[tag] > 0:
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i][0] == tag:
+                    self.pop(i)
+                    return
         self.end_segment()
 
     def handle_data(self, data: str) -> None:
@@ -310,8 +335,8 @@ def page_texts(pages: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit(pages)
     rows = packed(pages, "page_id", "url", "html").select("page_id", "url", text_of(F.col("html")).alias("html"))
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": [main_text(model, h) for h in b["html"]]})
+            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array([main_text(model, h) for h in b["html"].to_pylist()], pa.string())], names=["page_id", "url", "text"])
 
-    return rows.mapInPandas(extract, rows.select("page_id", "url", F.col("html").alias("text")).schema)
+    return rows.mapInArrow(extract, rows.select("page_id", "url", F.col("html").alias("text")).schema)
