@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,14 @@ from ridelattice.llm.text import packed, text_of
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf, about; a leaf that grows to eight times as many is cut up again.
 LEAF = 256
-_BORDER = re.compile(r"(?<=\S)(?= )")
+#: White space to every reader of Unicode.
+_SPACE = " \t\n\v\f\r"
+_BORDER = re.compile(r"(?<=\S)(?=[ \t-\r])|(?<=[^\W\d_])(?=[^\w\s])")
+
+
+def _is_border(left: str, right: str) -> bool:
+    """Whether a pre-token always begins between two characters: before white space, and between a letter and a mark."""
+    return not left.isspace() and right in _SPACE or left.isalpha() and not (right.isalnum() or right.isspace() or right == "_")
 
 
 @lru_cache(maxsize=2)
@@ -34,8 +41,8 @@ def encoding(path: str):
 class TokenTree:
     """Leaves of whole pre-tokens, with their characters and tokens summed over a binary tree.
 
-    A leaf ends between a character that is no white space and a space. There a pre-token always begins, whatever stands
-    around it, so counts of leaves add up to the count of the text, and an edit can only change the leaves that it
+    A leaf ends before white space that follows something else, or between a letter and a punctuation mark. There a pre-token
+    always begins, whatever stands around it, so counts of leaves add up to the count of the text, and an edit can only change the leaves that it
     touches and those whose border it takes away.
     """
 
@@ -99,10 +106,10 @@ class TokenTree:
         new = self.text[low][: start - before] + inserted + self.text[high][stop - after :]
         touched = list(range(low, high + 1))
         # boundary context: a neighbour joins in where the border between it and the new text is none any more
-        while (k := self._beside(touched[0], -1)) >= 0 and not (new[:1] == " " and not self.text[k][-1].isspace()):
+        while (k := self._beside(touched[0], -1)) >= 0 and not (new and _is_border(self.text[k][-1], new[0])):
             touched = list(range(k, touched[-1] + 1))
             new = self.text[k] + new
-        while (k := self._beside(touched[-1], 1)) >= 0 and not (new and not new[-1].isspace() and self.text[k][0] == " "):
+        while (k := self._beside(touched[-1], 1)) >= 0 and not (new and _is_border(new[-1], self.text[k][0])):
             touched = list(range(touched[0], k + 1))
             new += self.text[k]
         self.recoded += len(new)
@@ -136,7 +143,7 @@ def _leaves(text: str) -> list[str]:
 
 
 def _counter(path: str):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path).encode_ordinary
         done: list[tuple] = []
         tree, now, first, edits = None, None, None, 0
@@ -147,8 +154,8 @@ def _counter(path: str):
 
         for b in batches:
             size = 0
-            for key, kind, start, removed, body in zip(b["id"], b["kind"], b["start"], b["n_removed"], b["body"], strict=True):
-                same = tree is not None and pd.notna(key) and key == now
+            for key, kind, start, removed, body in zip(*(b[c].to_pylist() for c in ("id", "kind", "start", "n_removed", "body")), strict=True):
+                same = tree is not None and key is not None and key == now
                 if kind == 1:
                     if same:
                         tree.edit(int(start), int(removed), body)
@@ -163,13 +170,13 @@ def _counter(path: str):
                     first = (tree.n_chars, tree.n_tokens)
                 size += len(body)
                 if size > 1 << 20:
-                    yield _frame(done, b["id"].dtype)
+                    yield _batch(done, b["id"].type)
                     done, size = [], 0
-            yield _frame(done, b["id"].dtype)
+            yield _batch(done, b["id"].type)
             done = []
         close()
         if done:
-            yield _frame(done, None)
+            yield _batch(done, b["id"].type)
 
     return count
 
@@ -177,9 +184,9 @@ def _counter(path: str):
 _COLUMNS = ("id", "n_chars", "n_tokens", "n_edits", "edited_chars", "edited_tokens", "recoded_chars", "content")
 
 
-def _frame(rows: list[tuple], kind) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_COLUMNS)
-    return out.astype({"id": "object"})
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = (kind, *[pa.int64()] * 6, pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(_COLUMNS))
 
 
 def edited_token_counts(messages: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
@@ -205,5 +212,5 @@ def edited_token_counts(messages: DataFrame, edits: DataFrame, path: str | None
     # null ids are spread by their text: they need not meet
     spread = F.when(F.col("id").isNull(), F.xxhash64("body"))
     rows = texts.union(changes).repartition("id", spread).sortWithinPartitions("id", "kind", "seq", "start", "n_removed", "body")
-    return rows.select("id", "kind", "start", "n_removed", "body").mapInPandas(
+    return rows.select("id", "kind", "start", "n_removed", "body").mapInArrow(
         _counter(path or vocabulary(RANKS)), f"id {kind}, n_chars bigint, n_tokens bigint, n_edits bigint, edited_chars bigint, edited_tokens bigint, recoded_chars bigint, content string")
