@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,14 +235,14 @@ def encoder_for(path: str) -> Encoder:
 
 
 def _coder(path: str):
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
         for b in batches:
-            ids, texts = b["id"].array, b["content"].tolist()
+            texts = b["content"].to_pylist()
             for lo, hi in _slices(texts, 1 << 20):
                 got = encoder.encode(texts[lo:hi])
-                yield pd.DataFrame({
-                    "id": ids[lo:hi], "n_tokens": [len(x) for x in got], "ids": [x.astype("<u4").tobytes() for x in got], "decoded": list(map(encoder.decode, got))})
+                n, ids = pa.array([len(x) for x in got], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in got], pa.binary())
+                yield pa.RecordBatch.from_arrays([b["id"].slice(lo, hi - lo), n, ids, pa.array(list(map(encoder.decode, got)), pa.string())], names=["id", "n_tokens", "ids", "decoded"])
 
     return code
 
@@ -261,4 +261,4 @@ def message_tokens(messages: DataFrame, path: str | None = None) -> DataFrame:
     """
     rows = packed(messages, "id", "content").select("id", text_of(F.col("content")).alias("content"))
     kind = dict(messages.dtypes)["id"]
-    return rows.mapInPandas(_coder(path or vocabulary(BYTE_VOCABULARY)), f"id {kind}, n_tokens bigint, ids binary, decoded string")
+    return rows.mapInArrow(_coder(path or vocabulary(BYTE_VOCABULARY)), f"id {kind}, n_tokens bigint, ids binary, decoded string")
