@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +37,17 @@ def simhash(text: str) -> int:
     return int(np.packbits(set_ * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.array([simhash(x) for x in b["content"]], np.uint64).view(np.int64)
-        yield pd.DataFrame({"id": b["id"], "fingerprint": fp})
+        fp = np.array([simhash(x) for x in b["content"].to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b["id"], pa.array(fp)], names=["id", "fingerprint"])
 
 
 def message_simhashes(messages: DataFrame) -> DataFrame:
     """``id`` and ``fingerprint`` (long) of every row of ``messages``; a null content is empty."""
     rows = packed(messages, "id", "content").select("id", text_of(F.col("content")).alias("content"))
     kind = dict(messages.dtypes)["id"]
-    return rows.mapInPandas(_fingerprints, f"id {kind}, fingerprint bigint")
+    return rows.mapInArrow(_fingerprints, f"id {kind}, fingerprint bigint")
 
 
 def _segments(radius: int) -> list[tuple[int, int]]:
@@ -124,7 +124,8 @@ def one_of_each(messages: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     stay = near_groups(messages, radius).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("stay")).distinct()
     rows = packed(messages, "id")
-    kept = rows.join(stay, rows["id"] == stay["stay"], "left").where(F.col("stay").isNotNull() | F.col("id").isNull())
+    kept = rows.join(stay, rows["id"] == stay["stay"])
     # the join has put equal ids together and in order; only repeated rows share one
     first = F.row_number().over(Window.partitionBy("id").orderBy("id"))
-    return kept.withColumn("copy", F.when(F.col("id").isNotNull(), first).otherwise(1)).where("copy = 1").select("row.*")
+    named = kept.where(F.col("id").isNotNull()).withColumn("copy", first).where("copy = 1").select("row.*")
+    return named.union(rows.where(F.col("id").isNull()).select("row.*"))
