@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridelattice.llm.text import carried, packed, restored, text_of
+from ridelattice.session import cut_lineage
 
 #: A run of repeated units goes when it has this many words together; single short phrases and licence lines stay.
 MIN_WORDS = 20
+#: A longer word is unspaced text, and counts as one word for each UNSPACED of its code points.
+LONG_WORD, UNSPACED = 30, 6
+#: Occurrences of a unit that are joined together, and units that are salted at most, the most frequent first (bounds the broadcast).
+HOT, SALTED = 10_000, 1 << 16
 #: What tells one text from another: rows that share an id, or have none, may differ.
 KEY = ["id", "hash"]
 #: A unit ends after a line feed, and inside a line after a sentence's full stop.
@@ -31,6 +36,11 @@ def _normal(unit: str) -> list[str]:
     return unit.lower().split()
 
 
+def _size(words: list[str]) -> int:
+    """Number of words, where long ones count by their length."""
+    return sum(len(w) // UNSPACED if len(w) > LONG_WORD else 1 for w in words)
+
+
 def _digest(words: list[str]) -> bytes:
     return hashlib.md5(" ".join(words).encode("utf-8", "replace")).digest()
 
@@ -57,7 +67,7 @@ def _removed(text: str, again: set[bytes], min_words: int) -> list[tuple[int, in
         w = _normal(u)
         if w and i.to_bytes(4, "big") + _digest(w) in again:
             start = offset if start is None else start
-            n_words += len(w)
+            n_words += _size(w)
             end = offset + len(u)
         elif w and start is not None:
             if n_words >= min_words:
@@ -93,13 +103,17 @@ def repeated_units(messages: DataFrame) -> DataFrame:
     place in four bytes, then its digest.
 
     Earlier means a smaller (``id``, ``hash``, place); a null id comes first. Digests are counted with a map-side combined
-    minimum, and only those found twice are joined back, so a unit in a third of all messages is spread over tasks. Equal
+    minimum, and only those found twice are joined back; one found more than HOT times is joined in as many salts as it takes, so
+    a unit in a third of all messages is spread over tasks. Equal
     rows have one set of units, which is never larger than their text has.
     """
     rows = packed(messages, "id", "content").select("id", text_of(F.col("content")).alias("content")).withColumn("hash", F.xxhash64("content"))
     found = rows.mapInArrow(_digests, f"id {dict(messages.dtypes)['id']}, hash bigint, pos int, digest binary")
-    first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "pos")).alias("first")).where("n > 1")
-    again = found.join(first.select("digest", "first"), "digest").where(~F.struct(*KEY, "pos").eqNullSafe(F.col("first")))
+    first = cut_lineage(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "pos")).alias("first")).where("n > 1").withColumn("salts", F.ceil(F.col("n") / HOT).cast("int")))
+    hot = F.broadcast(first.where("salts > 1").orderBy(F.desc("n")).limit(SALTED).select("digest", "salts"))
+    salted = found.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64(*KEY, "pos"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    ranked = first.select("digest", "first").join(hot, "digest", "left").select("digest", "first", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    again = salted.join(ranked, ["digest", "salt"]).where(~F.struct(*KEY, "pos").eqNullSafe(F.col("first")))
     unit = F.concat(F.unhex(F.lpad(F.hex("pos"), 8, "0")), "digest")
     return again.groupBy(*KEY).agg(F.collect_set(unit).alias("again"))
 
@@ -118,7 +132,7 @@ def without_repeats(messages: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     row: ``id``, ``content`` (what stays) and ``removed`` (``start`` and ``length`` of every passage taken out, in code
     points of the original). Units are lines, cut at sentence ends, compared in lower case with white space normalised;
     the occurrence with the smallest (``id``, XXH64 of the text, place) stays. A unit that occurs earlier goes if the run of such units around
-    it has ``min_words`` words or more.
+    it has ``min_words`` words or more, where a word of more than 30 code points (unspaced text) counts as one for each six.
 
     A null content is empty and loses nothing; a null id ranks before all others. Rows with equal id and text
     keep the same text; different texts under one id, or without an id, are ranked by their hash. A text may become empty, its row stays. An empty table gives no rows.

@@ -282,7 +282,7 @@ def test_repeats_against_brute_force(spark):
             tail = []
             while run and not run[-1].split():
                 tail.insert(0, run.pop())
-            if sum(len(x.split()) for x in run) < repeats.MIN_WORDS:
+            if sum(len(w) // 6 if len(w) > 30 else 1 for x in run for w in x.split()) < repeats.MIN_WORDS:
                 keep += run
             elif run[-1].endswith("\n") and keep and not keep[-1].endswith("\n"):
                 keep.append("\n")
