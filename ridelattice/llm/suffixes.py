@@ -28,7 +28,7 @@ GRAM = 32
 #: Windows of a piece, at most.
 RUN = 512
 #: Pieces that are sorted together; a bucket with more is salted, and its parts are compared by digests afterwards.
-GROUP = 4096
+GROUP = 1024
 #: Buckets that are salted, at most, the fullest first: bounds the table of salts that is broadcast.
 SALTED = 1 << 20
 #: Bytes of text that a task looks at together.
@@ -247,73 +247,103 @@ def window_classes(block: np.ndarray, group: np.ndarray, at: np.ndarray, length:
     return label
 
 
-def _sorter(length: int):
-    names = ["id", "hash", "start", "end", "high", "low"]
+def _whole_groups(batches: Iterator[pa.RecordBatch], first: str, second: str, sized: str) -> Iterator[pa.Table]:
+    """Sorted rows in tables of about BLOCK bytes of the column ``sized`` that hold all rows of their groups."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        for lo in range(0, b.num_rows, GROUP):
+            held.append(b.slice(lo, GROUP))
+            size += held[-1][sized].nbytes
+            if size < BLOCK:
+                continue
+            # all but the last group, which may go on
+            t = pa.Table.from_batches(held)
+            x, y = t[first].to_numpy(), t[second].to_numpy()
+            other = np.flatnonzero((x != x[-1]) | (y != y[-1]))
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield t.slice(0, cut).combine_chunks()
+                held = t.slice(cut).to_batches()
+                size = sum(x[sized].nbytes for x in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
+
+def _sorter(length: int):
     def one(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
         texts = t["text"].to_pylist()
         sizes, n = np.array([len(x) for x in texts]), t["windows"].to_numpy()
         block, first = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes
-        bucket, salt = t["bucket"].to_numpy(), t["salt"].to_numpy()
+        bucket, salt, salts = (t[c].to_numpy() for c in ("bucket", "salt", "salts"))
         group = np.cumsum(np.append(False, (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])))
         of, k = _spread(n)
         at = first[of] + k
         label = window_classes(block, group[of], at, length)
         many = np.bincount(label)[label] > 1
         asks = ~t["partner"].to_numpy(zero_copy_only=False)[of]
+        start = t["pos"].to_numpy()[of] + k
         # runs of repeated windows as spans
         hit = many & asks
         edge = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (hit[1:] != hit[:-1])))
         stop = np.append(edge[1:], len(of)) - 1
         edge, stop = edge[hit[edge]], stop[hit[edge]]
-        pos = t["pos"].to_numpy()
-        row, start, end = of[edge], pos[of[edge]] + k[edge], pos[of[stop]] + k[stop] + length
-        # a salted bucket shows one window of every class to its other parts
-        show = np.flatnonzero(t["salts"].to_numpy()[of] > 1)
+        # a part of a salted bucket shows one window of every class to the other parts, a row per range of digests
+        show = np.flatnonzero(salts[of] > 1)
         show = show[np.unique(label[show], return_index=True)[1]]
-        lone = ~many[show] & asks[show]
-        row = np.concatenate([row, of[show]])
-        start = np.concatenate([start, pos[of[show]] + k[show]])
-        end = np.concatenate([end, np.where(lone, start[len(start) - len(show) :] + length, -1)])
-        void = np.zeros(len(edge), np.int64)
-        high, low = (np.concatenate([void, Hashes(block, seed).of(at[show], length).view(np.int64)]) for seed in (1, 2))
-        away = np.arange(len(row)) < len(edge)
-        return pa.RecordBatch.from_arrays(
-            [t["id"].combine_chunks().take(pa.array(row)), t["hash"].combine_chunks().take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(high, mask=away), pa.array(low, mask=away)], names=names)
+        high, low = (Hashes(block, seed).of(at[show], length) for seed in (1, 2))
+        part = (high % salts[of[show]].astype(_U)).astype(np.int32)
+        order = np.lexsort((part, group[of[show]]))
+        show, high, low, part = show[order], high[order], low[order], part[order]
+        new = np.flatnonzero(np.append(np.ones(min(1, len(show)), bool), (group[of[show]][1:] != group[of[show]][:-1]) | (part[1:] != part[:-1])))
+        ids, hashes = t["id"].combine_chunks(), t["hash"].combine_chunks()
+        own = pa.array(of[show])
+        entries = pa.StructArray.from_arrays(
+            [pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), ids.take(own), hashes.take(own), pa.array(start[show].astype(np.int32)), pa.array(~many[show] & asks[show])], names=["high", "low", "id", "hash", "start", "lone"])
+        shown = pa.ListArray.from_arrays(pa.array(np.append(new, len(show)).astype(np.int32)), entries)
+        row = pa.array(of[edge])
+        spans = [ids.take(row), hashes.take(row), pa.array(start[edge].astype(np.int32)), pa.array((start[stop] + length).astype(np.int32))]
+        columns = [pa.concat_arrays([c, pa.nulls(len(new), c.type)]) for c in spans]
+        columns += [pa.array(np.concatenate([bucket[of[edge]], bucket[of[show[new]]]])), pa.array(np.concatenate([np.full(len(edge), -1, np.int32), part[new]]))]
+        columns.append(pa.concat_arrays([pa.nulls(len(edge), shown.type), shown]))
+        return pa.RecordBatch.from_arrays(columns, names=["id", "hash", "start", "end", "bucket", "part", "shown"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
-            for lo in range(0, b.num_rows, GROUP):
-                part = b.slice(lo, GROUP)
-                held.append(part)
-                size += part["text"].nbytes
-                if size < BLOCK:
-                    continue
-                # all but the last group, which may go on
-                t = pa.Table.from_batches(held)
-                bucket, salt = t["bucket"].to_numpy(), t["salt"].to_numpy()
-                other = np.flatnonzero((bucket != bucket[-1]) | (salt != salt[-1]))
-                if len(other):
-                    cut = int(other[-1]) + 1
-                    yield one(t.slice(0, cut))
-                    t = t.slice(cut)
-                    held = t.to_batches()
-                    size = sum(x["text"].nbytes for x in held)
-        if held and sum(x.num_rows for x in held):
-            yield one(pa.Table.from_batches(held))
+        for t in _whole_groups(batches, "bucket", "salt", "text"):
+            if t.num_rows:
+                yield one(t)
 
     return sort
 
 
+def _meeting(length: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The spans found, and lone windows whose digest another part of their bucket has shown."""
+        for t in _whole_groups(batches, "bucket", "part", "shown"):
+            if not t.num_rows:
+                continue
+            known = t.filter(pc.is_null(t["shown"])).select(["id", "hash", "start", "end"]).combine_chunks()
+            yield from known.to_batches()
+            x = pc.list_flatten(t["shown"].combine_chunks())
+            if not len(x):
+                continue
+            high, low = x.field("high").to_numpy(), x.field("low").to_numpy()
+            order = np.lexsort((low, high))
+            run = _runs_equal(order, [high, low])
+            met = order[np.bincount(run)[run] > 1]
+            met = pa.array(met[x.field("lone").to_numpy(zero_copy_only=False)[met]])
+            start = x.field("start").take(met)
+            yield pa.RecordBatch.from_arrays([x.field("id").take(met), x.field("hash").take(met), start, pc.add(start, length).cast(pa.int32())], names=["id", "hash", "start", "end"])
+
+    return meet
+
+
 def repeated_spans(messages: DataFrame, length: int = LENGTH) -> DataFrame:
     """``id``, ``hash`` (XXH64 of the text), ``start`` and ``end`` of byte spans covered by windows that start at two places; spans may overlap.
 
     Pieces are told apart by 120 bits or more of hashes, windows of one bucket by their bytes. A task that meets a piece twice
     says so once, so a passage in a third of all texts is a row per task; a bucket of many different pieces is salted, and what
-    its parts found is compared by 128-bit digests, one row per part and class. Texts are read from one shuffle for both uses.
+    its parts found is compared by 128-bit digests, one per part and class. Texts are read from one shuffle for both uses.
     """
     return _spans(_rows(messages), messages, length)
 
@@ -340,11 +370,10 @@ def _spans(rows: DataFrame, messages: DataFrame, length: int) -> DataFrame:
     asked = hot.where("asks").groupBy("id", "hash").agg(F.collect_list(F.struct("bucket", "salt", "salts", "name", F.col("twice").alias("partner"), "pos", "windows")).alias("asked"))
     sliced = _with_texts(rows, asked).mapInArrow(
         _slicer(length), f"bucket bigint, salt int, salts int, name bigint, partner boolean, pos int, windows int, id {kind}, hash bigint, text binary")
-    sorted_ = sliced.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(
-        _sorter(length), f"id {kind}, hash bigint, start int, end int, high bigint, low bigint")
-    sorted_ = cut_lineage(sorted_)
-    shown = sorted_.where("high IS NOT NULL").withColumn("parts", F.count("*").over(Window.partitionBy("high", "low"))).where("parts > 1 AND end >= 0")
-    return sure.union(sorted_.where("high IS NULL").select("id", "hash", "start", "end")).union(shown.select("id", "hash", "start", "end"))
+    spans = f"id {kind}, hash bigint, start int, end int"
+    shown = f"array<struct<high: bigint, low: bigint, id: {kind}, hash: bigint, start: int, lone: boolean>>"
+    sorted_ = sliced.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(_sorter(length), f"{spans}, bucket bigint, part int, shown {shown}")
+    return sure.union(sorted_.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_meeting(length), spans))
 
 
 def _with_texts(rows: DataFrame, more: DataFrame, how: str = "inner") -> DataFrame:
