@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelattice.operators import assign, dispatch, network, pool, recourse
+from ridelattice.operators import assign, dispatch, network, pairs, pool, recourse
 from ridelattice.plans import sqltext as q
 from ridelattice.plans.matching import standard_scored
 from ridelattice.plans.network import _CONG_OD, _OD, congested_od, od, once
@@ -170,41 +170,58 @@ POOL_LIMITS = {"detour_km": 40.0, "detour_time_s": 4500.0}
 _L = POOL_LIMITS
 
 
-def _orders_values() -> str:
-    return "(VALUES " + ", ".join(f"({i}, {', '.join(map(str, o))})" for i, o in enumerate(pool.stop_orders(2))) + ") o(order_no, s1, s2, s3, s4)"
+def _orders_values(ks=(1, 2, 3)) -> str:
+    return "(VALUES " + ", ".join(f"({k}, {i}, {o})" for k in ks for i, o in enumerate(pool.stop_orders(k))) + ") o(k, order_no, stops)"
 
 
-def _pool_sql(od_name: str = "od", out: str = "pe") -> str:
-    at = lambda s: f"CASE {s} WHEN 1 THEN o1 WHEN 2 THEN d1 WHEN 3 THEN o2 ELSE d2 END"
-    seat = lambda s: f"CASE {s} WHEN 1 THEN w1 WHEN 2 THEN -w1 WHEN 3 THEN w2 ELSE -w2 END"
-    sign = lambda s: f"CASE WHEN {s} % 2 = 1 THEN -1 ELSE 1 END"
-    return f"""{out}2a AS (SELECT *, {at('s1')} AS n1, {at('s2')} AS n2, {at('s3')} AS n3, {at('s4')} AS n4, {seat('s1')} AS q1, {seat('s2')} AS q2, {seat('s3')} AS q3 FROM two CROSS JOIN {_orders_values()}),
-  {out}2 AS (SELECT t.driver_id, t.capacity, pool_id, order_no, 2 AS k, a.km + b.km + c.km + d.km + e.km AS km, a.s + b.s + c.s + d.s + e.s AS s, g.km AS dk, g.s AS ds, greatest(q1, q1+q2, q1+q2+q3) AS top,
-    ({sign('s1')}*a.s + {sign('s2')}*(a.s + b.s) + {sign('s3')}*(a.s + b.s + c.s) + {sign('s4')}*(a.s + b.s + c.s + d.s))/2e0 AS ride FROM {out}2a t
-    LEFT JOIN {od_name} a ON a.src = v_o AND a.dst = n1 LEFT JOIN {od_name} b ON b.src = n1 AND b.dst = n2 LEFT JOIN {od_name} c ON c.src = n2 AND c.dst = n3 LEFT JOIN {od_name} d ON d.src = n3 AND d.dst = n4
-    LEFT JOIN {od_name} e ON e.src = n4 AND e.dst = v_d LEFT JOIN {od_name} g ON g.src = v_o AND g.dst = v_d),
-  {out}1 AS (SELECT t.driver_id, t.capacity, pool_id, 0 AS order_no, 1 AS k, a.km + b.km + e.km AS km, a.s + b.s + e.s AS s, g.km AS dk, g.s AS ds, w1 AS top, b.s AS ride FROM one t
-    LEFT JOIN {od_name} a ON a.src = v_o AND a.dst = o1 LEFT JOIN {od_name} b ON b.src = o1 AND b.dst = d1 LEFT JOIN {od_name} e ON e.src = d1 AND e.dst = v_d LEFT JOIN {od_name} g ON g.src = v_o AND g.dst = v_d),
-  {out}a AS (SELECT *, greatest(0e0, km - dk) AS detour_km, greatest(0e0, s - ds) AS detour_s, {_L['detour_km']}e0*(1e0 + 0.5e0*(k - 1)) AS lk, {_L['detour_time_s']}e0*(1e0 + 0.5e0*(k - 1)) AS ls FROM (SELECT * FROM {out}1 UNION ALL SELECT * FROM {out}2) u),
+_SUBSETS = with_clause("nodes", "edges", "offers") + """, sets AS MATERIALIZED (SELECT *, CASE WHEN k >= 1 THEN driver_id || '-' || array_to_string(r, '+') END AS pool_id FROM (
+  SELECT driver_id, capacity, v_o, v_d, 1 AS k, [rider_id] AS r, [r_o, r_d] AS pts, [seats] AS w FROM offers
+  UNION ALL SELECT a.driver_id, a.capacity, a.v_o, a.v_d, 2, [a.rider_id, b.rider_id], [a.r_o, a.r_d, b.r_o, b.r_d], [a.seats, b.seats] FROM offers a JOIN offers b ON a.driver_id = b.driver_id AND a.rider_id < b.rider_id
+  UNION ALL SELECT a.driver_id, a.capacity, a.v_o, a.v_d, 3, [a.rider_id, b.rider_id, c.rider_id], [a.r_o, a.r_d, b.r_o, b.r_d, c.r_o, c.r_d], [a.seats, b.seats, c.seats]
+    FROM offers a JOIN offers b ON a.driver_id = b.driver_id AND a.rider_id < b.rider_id JOIN offers c ON c.driver_id = b.driver_id AND b.rider_id < c.rider_id) t WHERE k <= capacity)"""
+
+
+def _walk_sql(ks=(1, 2, 3)) -> str:
+    """Every stop order of every set, with its largest load and its places in order."""
+    load = "list_sum(list_transform(stops[1:i], lambda x: CASE WHEN x % 2 = 1 THEN w[(x + 1) // 2] ELSE -w[(x + 1) // 2] END))"
+    return f"""walk AS MATERIALIZED (SELECT t.*, order_no, stops, list_max(list_transform(range(1, 2*t.k + 1), lambda i: {load})) AS top,
+    list_concat([v_o], list_transform(stops, lambda x: pts[x]), [v_d]) AS way FROM sets t JOIN {_orders_values(ks)} ON o.k = t.k)"""
+
+
+def _pool_sql(od_name: str = "od", out: str = "pe", ks=(1, 2, 3)) -> str:
+    walk = "" if out != "pe" else _walk_sql(ks) + ", "
+    add = lambda x: f"list_reduce({x}, lambda a, b: a + b)"
+    return f"""{walk}{out}l AS (SELECT pool_id, order_no, i, way[i] AS src, way[i + 1] AS dst FROM (SELECT pool_id, order_no, way, unnest(range(1, len(way))) AS i FROM walk)),
+  {out}s AS (SELECT pool_id, order_no, count(c.s) AS n, list(c.km ORDER BY i) AS kms, list(c.s ORDER BY i) AS ss FROM {out}l l LEFT JOIN {od_name} c ON c.src = l.src AND c.dst = l.dst GROUP BY pool_id, order_no),
+  {out}w AS (SELECT t.driver_id, t.capacity, t.pool_id, t.order_no, t.k, t.top, g.km AS dk, g.s AS ds, CASE WHEN n = 2*k + 1 THEN {add('kms')} END AS km, CASE WHEN n = 2*k + 1 THEN {add('ss')} END AS s,
+    CASE WHEN n = 2*k + 1 THEN {add(f"list_transform(range(1, 2*k + 1), lambda i: (CASE WHEN stops[i] % 2 = 1 THEN -1 ELSE 1 END)*{add('ss[1:i]')})")}/k END AS ride
+    FROM walk t JOIN {out}s USING (pool_id, order_no) LEFT JOIN {od_name} g ON g.src = v_o AND g.dst = v_d),
+  {out}a AS (SELECT *, greatest(0e0, km - dk) AS detour_km, greatest(0e0, s - ds) AS detour_s, {_L['detour_km']}e0*(1e0 + 0.5e0*(k - 1)) AS lk, {_L['detour_time_s']}e0*(1e0 + 0.5e0*(k - 1)) AS ls FROM {out}w u),
   {out} AS MATERIALIZED (SELECT *, coalesce(km IS NOT NULL AND dk IS NOT NULL AND detour_km <= lk AND detour_s <= ls AND top <= capacity, false) AS feasible,
     CASE WHEN km IS NOT NULL AND dk IS NOT NULL AND detour_km <= lk AND detour_s <= ls AND top <= capacity THEN CAST(round(CAST(40e0*k/capacity + 30e0*greatest(0e0, 1e0 - detour_s/ls) + 15e0*greatest(0e0, 1e0 - ride/(ls*1.5e0))
     + 15e0*greatest(0e0, 1e0 - detour_km/lk) AS DECIMAL(20,8)), 2) AS DOUBLE) ELSE 0e0 END AS objective FROM {out}a)"""
 
 
-_SUBSETS = with_clause("nodes", "edges", "cohorts") + """, one AS (SELECT driver_id, capacity, v_o, v_d, rider_id AS r1, r_o AS o1, r_d AS d1, seats AS w1, driver_id || '-' || rider_id AS pool_id FROM cohorts),
-  two AS (SELECT a.*, b.r1 AS r2, b.o1 AS o2, b.d1 AS d2, b.w1 AS w2 FROM (SELECT * EXCLUDE (pool_id) FROM one) a JOIN one b ON a.driver_id = b.driver_id AND a.r1 < b.r1),
-  two_ AS (SELECT * FROM two)"""
-_SUBSETS = _SUBSETS.replace("SELECT a.*, b.r1 AS r2", "SELECT a.*, a.driver_id || '-' || a.r1 || '+' || b.r1 AS pool_id, b.r1 AS r2").replace(",\n  two_ AS (SELECT * FROM two)", "")
+def offers(spark, sf) -> DataFrame:
+    """Riders offered to drivers: all within a kilometre and a minute, through the grid join."""
+    nodes = fixture(spark, sf, "nodes")
+    at = lambda end: nodes.select(F.col("node").alias(f"{end}_node"), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon"))
+    r, v = (fixture(spark, sf, t).join(at("o"), "o_node").join(at("d"), "d_node") for t in ("net_riders", "net_drivers"))
+    near = pairs.radius_pairs(r, v, 1.0, 25_000.0, 1.0, by=("town",))
+    return near.select("driver_id", F.col("v_capacity").alias("capacity"), F.col("v_o_node").alias("v_o"), F.col("v_d_node").alias("v_d"), "rider_id", F.col("r_o_node").alias("r_o"), F.col("r_d_node").alias("r_d"), F.col("r_seats").alias("seats"))
+
+
+def offered_pools(spark, sf, k: int) -> DataFrame:
+    return pool.pools(cut_lineage(offers(spark, sf)), k)
 
 
 def cohort_pools(spark, sf, k: int) -> DataFrame:
     return pool.pools(fixture(spark, sf, "cohorts").drop("dep_s"), k)
 
 
-@query("p1_valid_stop_orders", _SUBSETS + """ SELECT pool_id, 1 AS k, CASE WHEN w1 <= capacity THEN 1 ELSE 0 END AS valid_orders FROM one
-  UNION ALL SELECT pool_id, 2, CASE WHEN w1 + w2 <= capacity THEN 6 WHEN w1 <= capacity AND w2 <= capacity THEN 2 ELSE 0 END FROM two WHERE capacity >= 2""")
+@query("p1_valid_stop_orders", _SUBSETS + ", " + _walk_sql() + " SELECT pool_id, k, CAST(count(*) FILTER (top <= capacity) AS INT) AS valid_orders FROM walk GROUP BY pool_id, k")
 def p1(spark, sf):
-    p = cohort_pools(spark, sf, 2).select("pool_id", "k", "capacity", "riders", F.explode(pool._orders_column(2)).alias("stops"))
+    p = offered_pools(spark, sf, 3).select("pool_id", "k", "capacity", "riders", F.explode(pool._orders_column(3)).alias("stops"))
     zero = F.struct(F.lit(0).alias("load"), F.lit(0).alias("top"))
 
     def step(acc, stop):
@@ -217,18 +234,18 @@ def p1(spark, sf):
 
 
 @query("p2_evaluate_orders", _SUBSETS + ", " + _OD + ", " + _pool_sql() + """ SELECT pool_id, order_no, k, round(km, 4) AS km, round(s, 1) AS s, round(CASE WHEN dk IS NOT NULL AND km IS NOT NULL THEN detour_km END, 4) AS detour_km,
-  feasible, top AS max_load, objective FROM pe WHERE k <= capacity""")
+  feasible, top AS max_load, objective FROM pe""")
 def p2(spark, sf):
-    e = pool.evaluate_orders(pool.with_leg_costs(cohort_pools(spark, sf, 2), od(spark, sf)), POOL_LIMITS, 2)
+    e = pool.evaluate_orders(pool.with_leg_costs(offered_pools(spark, sf, 3), od(spark, sf)), POOL_LIMITS, 3)
     return e.select("pool_id", "order_no", "k", F.round("km", 4).alias("km"), F.round("s", 1).alias("s"), F.round("detour_km", 4).alias("detour_km"), "feasible", "max_load", "objective")
 
 
-_BEST = """ SELECT driver_id, pool_id, order_no, objective FROM (SELECT *, row_number() OVER (PARTITION BY driver_id ORDER BY objective DESC, k, pool_id, order_no) AS rk FROM pe WHERE feasible AND k <= capacity) t WHERE rk = 1"""
+_BEST = """ SELECT driver_id, pool_id, order_no, {0}objective FROM (SELECT *, row_number() OVER (PARTITION BY driver_id ORDER BY objective DESC, k, pool_id, order_no) AS rk FROM pe WHERE feasible) t WHERE rk = 1"""
 
 
-@query("p3_best_pool_pairs", _SUBSETS + ", " + _OD + ", " + _pool_sql() + _BEST)
+@query("p3_best_pool_pairs", _SUBSETS + ", " + _OD + ", " + _pool_sql(ks=(1, 2)) + _BEST.format(""))
 def p3(spark, sf):
-    e = pool.evaluate_orders(pool.with_leg_costs(cohort_pools(spark, sf, 2), od(spark, sf)), POOL_LIMITS, 2)
+    e = pool.evaluate_orders(pool.with_leg_costs(offered_pools(spark, sf, 2), od(spark, sf)), POOL_LIMITS, 2)
     return pool.best_pools(e, ["driver_id"]).select("driver_id", "pool_id", "order_no", "objective")
 
 
@@ -237,60 +254,65 @@ def road_direct(spark, sf):
     return d.join(od(spark, sf).select("src", "dst", F.col("km").alias("direct_km")), ["src", "dst"]).select("driver_id", "direct_km")
 
 
-@query("p3_best_pool_triples")
+def admissible_pools(spark, sf) -> DataFrame:
+    return pool.grown_pools(cut_lineage(offers(spark, sf)), fixture(spark, sf, "nodes"), road_direct(spark, sf), POOL_LIMITS["detour_km"])
+
+
+@query("p3_best_pool_triples", _SUBSETS + ", " + _OD + ", " + _pool_sql() + _BEST.format("k, "))
 def p3_triples(spark, sf):
-    """Up to three riders; pools the straight-line bound rules out are dropped before legs are joined."""
-    p = pool.admissible(cohort_pools(spark, sf, 3), fixture(spark, sf, "nodes"), road_direct(spark, sf), POOL_LIMITS["detour_km"])
-    p = p.filter("admissible").select("driver_id", "capacity", "v_o", "v_d", "riders", "k", "pool_id")
-    e = pool.evaluate_orders(pool.with_leg_costs(p, od(spark, sf)), POOL_LIMITS, 3)
+    """Up to three riders of all that are offered; sets that the straight-line bound rules out are never formed."""
+    e = pool.evaluate_orders(pool.with_leg_costs(admissible_pools(spark, sf), od(spark, sf)), POOL_LIMITS, 3)
     return pool.best_pools(e, ["driver_id"]).select("driver_id", "pool_id", "order_no", "k", "objective")
 
 
+def packed(spark, sf, capacities) -> DataFrame:
+    """The best order of every admissible set under each number of seats, packed so that no rider travels twice."""
+    seats = F.explode(F.array(*[F.lit(c) for c in capacities])).alias("capacity")
+    sets = pool.grown_pools(offers(spark, sf).withColumn("capacity", F.lit(max(capacities))), fixture(spark, sf, "nodes"), road_direct(spark, sf), POOL_LIMITS["detour_km"])
+    costed = pool.with_leg_costs(sets, od(spark, sf)).drop("capacity").select("*", seats).filter(F.col("k") <= F.col("capacity"))
+    best = pool.best_pools(pool.evaluate_orders(costed, POOL_LIMITS, 3), ["capacity", "pool_id"])
+    return pool.packed_pools(best, ["capacity"])
+
+
+@query("p3_packed_pools")
+def p3_packed(spark, sf):
+    """Trips of three-seat vehicles that share no rider, taken in order of objective."""
+    return packed(spark, sf, (3,)).select("driver_id", "pool_id", F.size("riders").alias("k"), "objective")
+
+
 @query("p4_insertion_pools")
 def p4(spark, sf):
-    out = pool.insertion_pools(fixture(spark, sf, "cohorts").drop("dep_s"), od(spark, sf), fixture(spark, sf, "nodes"), POOL_LIMITS)
+    out = pool.insertion_pools(offers(spark, sf), od(spark, sf), fixture(spark, sf, "nodes"), POOL_LIMITS)
     return out.select("driver_id", F.array_join(F.transform("riders", lambda r: r["rider_id"].cast("string")), "+").alias("riders"),
                       F.array_join(F.col("stops").cast("array<string>"), ">").alias("stops"), "objective")
 
 
-def _tour_sql() -> str:
-    pt = lambda s: (f"CASE {s} WHEN 1 THEN o1_lat WHEN 2 THEN d1_lat WHEN 3 THEN o2_lat ELSE d2_lat END", f"CASE {s} WHEN 1 THEN o1_lon WHEN 2 THEN d1_lon WHEN 3 THEN o2_lon ELSE d2_lon END")
-    legs = " + ".join(q.hav(*a, *b) for a, b in zip([("vo_lat", "vo_lon"), ("a1", "b1"), ("a2", "b2"), ("a3", "b3"), ("a4", "b4")], [("a1", "b1"), ("a2", "b2"), ("a3", "b3"), ("a4", "b4"), ("vd_lat", "vd_lon")]))
-    seat = lambda s: f"CASE {s} WHEN 1 THEN w1 WHEN 2 THEN -w1 WHEN 3 THEN w2 ELSE -w2 END"
-    return f"""g2 AS (SELECT t.*, vo.lat AS vo_lat, vo.lon AS vo_lon, vd.lat AS vd_lat, vd.lon AS vd_lon, p.lat AS o1_lat, p.lon AS o1_lon, x.lat AS d1_lat, x.lon AS d1_lon, y.lat AS o2_lat, y.lon AS o2_lon, z.lat AS d2_lat, z.lon AS d2_lon
-    FROM two t JOIN nodes vo ON vo.node = v_o JOIN nodes vd ON vd.node = v_d JOIN nodes p ON p.node = o1 JOIN nodes x ON x.node = d1 JOIN nodes y ON y.node = o2 JOIN nodes z ON z.node = d2 WHERE capacity >= 2),
-  h2 AS (SELECT *, {', '.join(f'{pt(f"s{i}")[0]} AS a{i}, {pt(f"s{i}")[1]} AS b{i}' for i in (1, 2, 3, 4))}, greatest({seat('s1')}, {seat('s1')} + {seat('s2')}, {seat('s1')} + {seat('s2')} + {seat('s3')}) AS top FROM g2 CROSS JOIN {_orders_values()}),
-  t2 AS (SELECT driver_id, v_o, v_d, pool_id, 2 AS k, min(CASE WHEN top <= capacity THEN {legs} END) AS tour FROM h2 GROUP BY driver_id, v_o, v_d, pool_id),
-  t1 AS (SELECT driver_id, v_o, v_d, pool_id, 1 AS k, CASE WHEN w1 <= capacity THEN {q.hav('vo.lat', 'vo.lon', 'p.lat', 'p.lon')} + {q.hav('p.lat', 'p.lon', 'x.lat', 'x.lon')} + {q.hav('x.lat', 'x.lon', 'vd.lat', 'vd.lon')} END AS tour
-    FROM one JOIN nodes vo ON vo.node = v_o JOIN nodes vd ON vd.node = v_d JOIN nodes p ON p.node = o1 JOIN nodes x ON x.node = d1)"""
-
-
-@query("p5_admissible_pools", _SUBSETS + ", " + _OD + ", " + _tour_sql() + f""" SELECT pool_id, round(greatest(0e0, tour - od.km), 6) AS bound_km, coalesce(greatest(0e0, tour - od.km) <= {_L['detour_km']}e0*(1e0 + 0.5e0*(k - 1)), false) AS admissible
-  FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) t JOIN od ON od.src = v_o AND od.dst = v_d""")
+@query("p5_admissible_pools", _SUBSETS + ", " + _OD + ", " + _walk_sql() + f""", step AS (SELECT pool_id, order_no, i, way[i] AS a, way[i + 1] AS b FROM (SELECT pool_id, order_no, way, unnest(range(1, len(way))) AS i FROM walk WHERE top <= capacity)),
+  tour AS (SELECT pool_id, order_no, sum({q.hav('m.lat', 'm.lon', 'n.lat', 'n.lon')}) AS km FROM step JOIN nodes m ON m.node = a JOIN nodes n ON n.node = b GROUP BY pool_id, order_no),
+  least_ AS (SELECT pool_id, min(km) AS km FROM tour GROUP BY pool_id)
+  SELECT t.pool_id, round(greatest(0e0, l.km - od.km), 6) AS bound_km, coalesce(greatest(0e0, l.km - od.km) <= {_L['detour_km']}e0*(1e0 + 0.5e0*(k - 1)), false) AS admissible
+  FROM sets t JOIN od ON od.src = v_o AND od.dst = v_d LEFT JOIN least_ l ON l.pool_id = t.pool_id""")
 def p5(spark, sf):
-    p = pool.admissible(cohort_pools(spark, sf, 2), fixture(spark, sf, "nodes"), road_direct(spark, sf), POOL_LIMITS["detour_km"], 2)
+    p = pool.admissible(offered_pools(spark, sf, 3), fixture(spark, sf, "nodes"), road_direct(spark, sf), POOL_LIMITS["detour_km"], 3)
     return p.select("pool_id", F.round("bound_km", 6).alias("bound_km"), "admissible")
 
 
 @query("p6_capacity_sweep")
 def p6(spark, sf):
-    """Matched riders and objective when every vehicle had 1, 2, 3 or 4 seats."""
-    c = fixture(spark, sf, "cohorts").drop("dep_s")
-    out = None
-    for cap in (1, 2, 3, 4):
-        got = pool.insertion_pools(c, od(spark, sf), fixture(spark, sf, "nodes"), POOL_LIMITS, cap)
-        row = got.agg(F.lit(cap).alias("capacity"), F.sum(F.size("riders")).alias("matched"), F.round(F.sum("objective"), 2).alias("objective"), F.count(F.lit(1)).alias("drivers"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Matched riders and objective when every vehicle had 1, 2, 3 or 4 seats and no rider travelled twice."""
+    drivers = fixture(spark, sf, "net_drivers").count()
+    out = packed(spark, sf, (1, 2, 3, 4)).groupBy("capacity").agg(
+        F.sum(F.size("riders")).alias("matched"), F.round(F.sum("objective"), 2).alias("objective"), F.count(F.lit(1)).alias("drivers"))
+    return out.withColumn("seats_offered", F.lit(drivers) * F.col("capacity"))
 
 
-_SHIFT_PICK = """SELECT pool_id, order_no, s, objective FROM (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY objective DESC, order_no) AS rk FROM {src} WHERE feasible AND k = 2 AND capacity >= 2) t WHERE rk = 1"""
+_SHIFT_PICK = """SELECT pool_id, order_no, s, objective FROM (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY objective DESC, order_no) AS rk FROM {src} WHERE feasible AND k = 2) t WHERE rk = 1"""
 
 
-@query("p7_stop_order_shift", _SUBSETS + ", " + _OD + ", " + _CONG_OD + ", " + _pool_sql() + ", " + _pool_sql("sev", "ce") + f""" SELECT a.pool_id, a.order_no AS free_order, b.order_no AS busy_order, a.order_no <> b.order_no AS changed,
+@query("p7_stop_order_shift", _SUBSETS + ", " + _OD + ", " + _CONG_OD + ", " + _pool_sql(ks=(2,)) + ", " + _pool_sql("sev", "ce") + f""" SELECT a.pool_id, a.order_no AS free_order, b.order_no AS busy_order, a.order_no <> b.order_no AS changed,
   round(greatest(0e0, b.s - a.s), 1) AS delay_s FROM ({_SHIFT_PICK.format(src='pe')}) a JOIN ({_SHIFT_PICK.format(src='ce')}) b USING (pool_id)""")
 def p7(spark, sf):
-    two = cohort_pools(spark, sf, 2).filter("k = 2")
+    two = offered_pools(spark, sf, 2).filter("k = 2")
 
     def best(table, tag):
         e = pool.evaluate_orders(pool.with_leg_costs(two, table), POOL_LIMITS, 2)

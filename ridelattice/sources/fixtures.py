@@ -86,6 +86,11 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT driver_id, capacity, v_o, v_d, rider_id, r_o, r_d, seats, dep_s FROM (SELECT v.driver_id, v.capacity, v.o_node AS v_o, v.d_node AS v_d, "
         "r.rider_id, r.o_node AS r_o, r.d_node AS r_d, r.seats, v.dep_s, sum(r.seats) OVER (PARTITION BY v.driver_id ORDER BY r.rider_id) AS used "
         f"FROM net_riders r JOIN net_drivers v ON v.driver_id = r.town*375 + ({_h('r.rider_id', 31, 375)})) t WHERE used <= capacity")),
+    # every rider within a kilometre of a driver's start and a minute of the departure, whatever the seats
+    "offers": (("net_riders", "net_drivers", "nodes"), (
+        "SELECT v.driver_id, v.capacity, v.o_node AS v_o, v.d_node AS v_d, r.rider_id, r.o_node AS r_o, r.d_node AS r_d, r.seats FROM net_riders r "
+        "JOIN net_drivers v ON v.town = r.town AND v.o_node = r.o_node JOIN nodes n ON n.node = v.o_node JOIN nodes m ON m.node = v.d_node JOIN nodes e ON e.node = r.d_node "
+        "WHERE abs(v.dep_s - r.dep_s) <= 60")),
     # planned edges of a trip that drives east to the end of its street
     "trip_edges": (("net_riders",), " UNION ALL ".join(
         f"SELECT rider_id AS trip_id, CAST({i} AS BIGINT) AS seq, o_node + {i} AS u, o_node + {i + 1} AS v, dep_s FROM net_riders WHERE o_node % 5 + {i} < 4" for i in range(4))),

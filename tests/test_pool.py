@@ -1,4 +1,6 @@
 import itertools
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +97,89 @@ def test_bound_loses_nothing_and_insertion_stays_below(spark, town):
         assert len(r.riders) <= r.capacity
 
 
+def test_lattice_gives_the_admissible_sets(spark, town):
+    n, od, c, rows, table = town
+    direct = c.select("driver_id", "v_o", "v_d").distinct().join(
+        od.select(F.col("src").alias("v_o"), F.col("dst").alias("v_d"), F.col("km").alias("direct_km")), ["v_o", "v_d"]).select("driver_id", "direct_km")
+    for limit in (POOL_LIMITS["detour_km"], 10.0):
+        all_ = pool.admissible(pool.pools(c, 3), n, direct, limit)
+        want = {r.pool_id for r in all_.filter("admissible").collect()}
+        got = [r.pool_id for r in pool.grown_pools(c, n, direct, limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_packing_equals_taking_one_by_one(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(300):
+        riders = sorted(rng.sample(range(60), rng.randint(1, 3)))
+        rows.append((i % 2, rng.randint(0, 25), f"p{i}", [(r, 0, 0, 1) for r in riders], float(rng.randint(1, 9))))
+    df = spark.createDataFrame(rows, "market int, driver_id bigint, pool_id string, riders array<struct<rider_id: bigint, r_o: bigint, r_d: bigint, seats: int>>, objective double")
+    used, want = set(), set()
+    for m, d, p, riders, o in sorted(rows, key=lambda r: (-r[4], r[2])):
+        needs = {(m, "d", d), *[(m, "r", r[0]) for r in riders]}
+        if not needs & used:
+            used |= needs
+            want.add(p)
+    got = [r.pool_id for r in pool.packed_pools(df, ["market"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert pool.packed_pools(df.limit(0), ["market"]).collect() == []
+
+
+def inserted(mine, od, where):
+    """Riders in the order in which greedy insertion, written out, takes them, and the objective."""
+    cap, vo, vd = mine[0][1:4]
+    stops, taken, best = [], [], 0.0
+    for r in sorted(mine, key=lambda r: (geo_km(where[vo], where[r[5]]), r[4])):
+        if len(taken) == cap:
+            break
+        found, riders = None, {x[4]: x for x in [*taken, r]}
+        for i in range(len(stops) + 1):
+            for j in range(i, len(stops) + 1):
+                way = [*stops[:i], (r[4], 5), *stops[i:j], (r[4], 6), *stops[j:]]
+                at, km, s, load, top, ride = vo, 0.0, 0.0, 0, 0, 0.0
+                for rider, end in way:
+                    leg = od.get((at, riders[rider][end]), (float("inf"),) * 2)
+                    km, s, at = km + leg[0], s + leg[1], riders[rider][end]
+                    load += riders[rider][7] if end == 5 else -riders[rider][7]
+                    top, ride = max(top, load), ride + (s if end == 6 else -s)
+                last, direct = od.get((at, vd)), od.get((vo, vd))
+                if km == float("inf") or last is None or direct is None or top > cap:
+                    continue
+                k = len(riders)
+                dk, ds, stretch = max(0, km + last[0] - direct[0]), max(0, s + last[1] - direct[1]), 1 + 0.5 * (k - 1)
+                lk, ls = POOL_LIMITS["detour_km"] * stretch, POOL_LIMITS["detour_time_s"] * stretch
+                score = round(40 * k / cap + 30 * (1 - ds / ls) + 15 * max(0, 1 - ride / k / (ls * 1.5)) + 15 * (1 - dk / lk), 2)
+                if dk <= lk and ds <= ls and (found is None or score > found[0] + 0.005):
+                    found = (score, way)
+        if found and found[0] > 0:
+            best, stops = found
+            taken.append(r)
+    return [r[4] for r in taken], best
+
+
+def geo_km(a, b):
+    (a, b), (c, d) = a, b
+    h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * 6371.0088 * math.asin(math.sqrt(h))
+
+
+def test_insertion_takes_riders_by_distance_from_more_than_there_are_seats(spark, town):
+    n, od, c, rows, table = town
+    rng = random.Random(4)
+    many = [(d, 1 + d % 4, (d * 7) % 23, (d * 5 + 11) % 23, d * 100 + j, (o := rng.randrange(23)), (o + rng.randrange(1, 23)) % 23, 1 + j % 2) for d in range(10) for j in range(7)]
+    where = {r.node: (r.lat, r.lon) for r in n.collect()}
+    df = spark.createDataFrame(many, "driver_id bigint, capacity int, v_o bigint, v_d bigint, rider_id bigint, r_o bigint, r_d bigint, seats int")
+    got = {r.driver_id: ([x.rider_id for x in r.riders], r.objective) for r in pool.insertion_pools(df, od, n, POOL_LIMITS).collect()}
+    for d in range(10):
+        riders, objective = inserted([r for r in many if r[0] == d], table, where)
+        if riders:
+            assert got[d][0] == riders and got[d][1] == pytest.approx(objective, abs=0.011)
+        else:
+            assert d not in got
+    assert max(len(r) for r, _ in got.values()) > 1
+
+
 def test_cohorts_never_exceed_seats(spark):
     c = fixture(spark, SF, "cohorts").groupBy("driver_id", "capacity").agg(F.sum("seats").alias("s"))
     assert c.filter("s > capacity").count() == 0
