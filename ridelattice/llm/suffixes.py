@@ -32,7 +32,7 @@ GROUP = 1024
 #: Buckets that are salted, at most, the fullest first: bounds the table of salts that is broadcast.
 SALTED = 1 << 20
 #: Bytes of text that a task looks at together.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -304,7 +304,7 @@ def _sorter(length: int):
         row = pa.array(of[edge])
         spans = [ids.take(row), hashes.take(row), pa.array(start[edge].astype(np.int32)), pa.array((start[stop] + length).astype(np.int32))]
         columns = [pa.concat_arrays([c, pa.nulls(len(new), c.type)]) for c in spans]
-        columns += [pa.array(np.concatenate([bucket[of[edge]], bucket[of[show[new]]]])), pa.array(np.concatenate([np.full(len(edge), -1, np.int32), part[new]]))]
+        columns += [pa.array(np.concatenate([bucket[of[edge]], bucket[of[show[new]]]])), pa.array(np.concatenate([-1 - start[edge].astype(np.int32) % 4093, part[new]]))]
         columns.append(pa.concat_arrays([pa.nulls(len(edge), shown.type), shown]))
         return pa.RecordBatch.from_arrays(columns, names=["id", "hash", "start", "end", "bucket", "part", "shown"])
 
