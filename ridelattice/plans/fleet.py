@@ -245,7 +245,7 @@ _BEST = """ SELECT driver_id, pool_id, order_no, {0}objective FROM (SELECT *, ro
 
 @query("p3_best_pool_pairs", _SUBSETS + ", " + _OD + ", " + _pool_sql(ks=(1, 2)) + _BEST.format(""))
 def p3(spark, sf):
-    e = pool.evaluate_orders(pool.with_leg_costs(offered_pools(spark, sf, 2), od(spark, sf)), POOL_LIMITS, 2)
+    e = pool.best_orders(pool.with_leg_costs(offered_pools(spark, sf, 2), od(spark, sf)), POOL_LIMITS, 2)
     return pool.best_pools(e, ["driver_id"]).select("driver_id", "pool_id", "order_no", "objective")
 
 
@@ -261,7 +261,7 @@ def admissible_pools(spark, sf) -> DataFrame:
 @query("p3_best_pool_triples", _SUBSETS + ", " + _OD + ", " + _pool_sql() + _BEST.format("k, "))
 def p3_triples(spark, sf):
     """Up to three riders of all that are offered; sets that the straight-line bound rules out are never formed."""
-    e = pool.evaluate_orders(pool.with_leg_costs(admissible_pools(spark, sf), od(spark, sf)), POOL_LIMITS, 3)
+    e = pool.best_orders(pool.with_leg_costs(admissible_pools(spark, sf), od(spark, sf)), POOL_LIMITS, 3)
     return pool.best_pools(e, ["driver_id"]).select("driver_id", "pool_id", "order_no", "k", "objective")
 
 
@@ -270,8 +270,7 @@ def packed(spark, sf, capacities) -> DataFrame:
     seats = F.explode(F.array(*[F.lit(c) for c in capacities])).alias("capacity")
     sets = pool.grown_pools(offers(spark, sf).withColumn("capacity", F.lit(max(capacities))), fixture(spark, sf, "nodes"), road_direct(spark, sf), POOL_LIMITS["detour_km"])
     costed = pool.with_leg_costs(sets, od(spark, sf)).drop("capacity").select("*", seats).filter(F.col("k") <= F.col("capacity"))
-    best = pool.best_pools(pool.evaluate_orders(costed, POOL_LIMITS, 3), ["capacity", "pool_id"])
-    return pool.packed_pools(best, ["capacity"])
+    return pool.packed_pools(pool.best_orders(costed, POOL_LIMITS, 3), ["capacity"])
 
 
 @query("p3_packed_pools")

@@ -104,8 +104,17 @@ def test_lattice_gives_the_admissible_sets(spark, town):
     for limit in (POOL_LIMITS["detour_km"], 10.0):
         all_ = pool.admissible(pool.pools(c, 3), n, direct, limit)
         want = {r.pool_id for r in all_.filter("admissible").collect()}
-        got = [r.pool_id for r in pool.grown_pools(c, n, direct, limit).collect()]
+        got = [r.pool_id for r in pool.grown_pools(c, n, direct, limit, bound_k=3).collect()]
         assert len(got) == len(set(got)) and set(got) == want and want
+        loose = {r.pool_id for r in pool.grown_pools(c, n, direct, limit).collect()}
+        assert loose >= want and loose <= {r.pool_id for r in all_.collect()}
+
+
+def test_best_orders_inside_the_row_equal_those_of_exploded_rows(spark, town):
+    n, od, c, rows, table = town
+    costed = pool.with_leg_costs(pool.pools(c, 3), od)
+    want = {r.pool_id: (r.order_no, r.objective) for r in pool.best_pools(pool.evaluate_orders(costed, POOL_LIMITS, 3), ["pool_id"]).collect()}
+    assert want and {r.pool_id: (r.order_no, r.objective) for r in pool.best_orders(costed, POOL_LIMITS, 3).collect()} == want
 
 
 def test_packing_equals_taking_one_by_one(spark):
