@@ -206,8 +206,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op12_suffix_array_dedup", """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 199)) AS p, h FROM d WHERE len(h) >= 400),
-w AS (SELECT doc_id, p, md5(h[2 * p + 1:2 * p + 400]) AS m FROM p),
+x AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199, 1000)) AS x FROM d WHERE len(h) >= 400),
+y AS (SELECT doc_id, x, h[2 * x + 1:2 * x + 2398] AS h FROM x),
+z AS (SELECT doc_id, x, h, unnest(range(0, least(1000, len(h) // 2 - 199))) AS z FROM y),
+w AS (SELECT doc_id, x + z AS p, md5(h[2 * z + 1:2 * z + 400]) AS m FROM z),
 c AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
 q AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w SEMI JOIN c USING (m)),
 i AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM q),
