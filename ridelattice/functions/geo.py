@@ -116,12 +116,15 @@ def with_route_similarity_2pt(
     df = df.withColumns(xy)
     tol = tolerance_km + 1e-10
     for x, y, share in (("a", "b", "_fa"), ("b", "a", "_fb")):
-        df = _covered_share(df, x, y, tol, share)
+        df = covered_share(df, x, y, tol, share)
     return df.withColumn(out, (F.col("_fa") + F.col("_fb")) / 2).select(*keep, out)
 
 
-def _covered_share(df: DataFrame, x: str, y: str, tol: float, out: str) -> DataFrame:
-    """Share of uniform samples of segment x within ``tol`` of segment y."""
+def covered_share(df: DataFrame, x: str, y: str, tol: float, out: str) -> DataFrame:
+    """Share of uniform samples of segment x within ``tol`` of segment y.
+
+    The part of x that is near y remains in ``_lo`` and ``_hi``, as shares of x; ``_lo > _hi`` if there is none.
+    """
     c = F.col
     df = df.withColumns({
         "_dx": c(f"_{x}ex") - c(f"_{x}sx"), "_dy": c(f"_{x}ey") - c(f"_{x}sy"),

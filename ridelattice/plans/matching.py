@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelattice.functions import geo
-from ridelattice.operators import gates, pairs, rank
+from ridelattice.operators import gates, pairs, rank, routes
 from ridelattice.plans import sqltext as q
 from ridelattice.plans.registry import query
 from ridelattice.sources.fixtures import fixture, with_clause
@@ -250,3 +250,96 @@ def _ablation_sql() -> str:
 def j12(spark, sf):
     ranked = rank.ablated_rankings(eligible_pairs(spark, sf), 3)
     return ranked.select("rider_id", "driver_id", "configuration", F.col("rank").cast("bigint").alias("rank"))
+
+
+# bent journeys: drivers have five points, requests four; inner points lie beside the straight line
+_POINTS_OF = {"driver_id": 5, "rider_id": 4}
+
+
+def _vertex(key: str, i: int) -> tuple[str, str]:
+    last = _POINTS_OF[key] - 1
+    if i in (0, last):
+        return ("o_lat", "o_lon") if i == 0 else ("d_lat", "d_lon")
+    beside = lambda a: f"(({key}*{a} + {i * 3}) % 9 - 4)*0.003e0"
+    return f"o_lat + (d_lat - o_lat)*{i}e0/{last}e0 + {beside(7)}", f"o_lon + (d_lon - o_lon)*{i}e0/{last}e0 + {beside(5)}"
+
+
+def bent_pairs(spark: SparkSession, sf: str, *limits: float) -> DataFrame:
+    """Pairs within the limits, with the routes of both sides."""
+    def with_route(name: str, key: str) -> DataFrame:
+        points = [F.struct(*[F.expr(e).alias(n) for n, e in zip(("lat", "lon"), _vertex(key, i))]) for i in range(_POINTS_OF[key])]
+        return fixture(spark, sf, name).withColumn("route", F.array(*points))
+
+    return pairs.radius_pairs(with_route("riders", "rider_id"), with_route("drivers", "driver_id"), *limits)
+
+
+def bent_scored(spark: SparkSession, sf: str) -> DataFrame:
+    return gates.with_score(gates.with_gates(routes.bent_pair_features(bent_pairs(spark, sf))))
+
+
+def _vertices_sql(table: str, key: str, out: str) -> str:
+    return f"{out} AS (" + " UNION ALL ".join(
+        f"SELECT {key}, {i} AS i, {lat} AS lat, {lon} AS lon FROM {table}" for i in range(_POINTS_OF[key]) for lat, lon in [_vertex(key, i)]) + ")"
+
+
+def _bent_features_sql(pickup: float, dest: float, minutes: float) -> str:
+    """Length from vertex rows; the detour tries every ordered pair of legs."""
+    return (
+        with_clause("riders", "drivers") + ", " + q.journeys_join(pickup, dest, minutes) + ", " + q.FEATURES + ", "
+        + _vertices_sql("drivers", "driver_id", "vv") + ", " + _vertices_sql("riders", "rider_id", "rv") + f""",
+  vleg AS (SELECT a.driver_id, a.i, a.lat AS alat, a.lon AS alon, b.lat AS blat, b.lon AS blon, {q.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS edge
+    FROM vv a JOIN vv b ON b.driver_id = a.driver_id AND b.i = a.i + 1),
+  vlen AS (SELECT driver_id, sum(edge) AS km FROM vleg GROUP BY driver_id),
+  ins AS MATERIALIZED (SELECT p.driver_id, p.rider_id, l.i, greatest(0e0, {q.hav('alat', 'alon', 'ro_lat', 'ro_lon')} + {q.hav('ro_lat', 'ro_lon', 'blat', 'blon')} - edge) AS pick,
+    greatest(0e0, {q.hav('alat', 'alon', 'rd_lat', 'rd_lon')} + {q.hav('rd_lat', 'rd_lon', 'blat', 'blon')} - edge) AS leave,
+    greatest(0e0, {q.hav('alat', 'alon', 'ro_lat', 'ro_lon')} + {q.hav('ro_lat', 'ro_lon', 'rd_lat', 'rd_lon')} + {q.hav('rd_lat', 'rd_lon', 'blat', 'blon')} - edge) AS same
+    FROM pairs p JOIN vleg l USING (driver_id)),
+  det AS (SELECT a.driver_id, a.rider_id, min(CASE WHEN a.i = b.i THEN a.same ELSE a.pick + b.leave END) AS km
+    FROM ins a JOIN ins b ON a.driver_id = b.driver_id AND a.rider_id = b.rider_id AND b.i >= a.i GROUP BY a.driver_id, a.rider_id),
+  bent0 AS (SELECT f.* REPLACE (det.km AS detour_km, vlen.km AS driver_route_km) FROM feat0 f JOIN det USING (driver_id, rider_id) JOIN vlen USING (driver_id))""")
+
+
+_BENT_SIM_SQL = """
+  vbox AS (SELECT driver_id, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM vv GROUP BY driver_id),
+  rbox AS (SELECT rider_id, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM rv GROUP BY rider_id),
+  mid AS (SELECT driver_id, rider_id, (least(a.s, b.s) + greatest(a.n, b.n))/2e0 AS lat0, (least(a.w, b.w) + greatest(a.e, b.e))/2e0 AS lon0
+    FROM pairs JOIN vbox a USING (driver_id) JOIN rbox b USING (rider_id)),
+  flat AS (SELECT driver_id, rider_id, side, i, 6371.0088e0*radians(lon - lon0)*cos(radians(lat0)) AS x, 6371.0088e0*radians(lat - lat0) AS y FROM (
+    SELECT m.*, 'v' AS side, i, lat, lon FROM mid m JOIN vv USING (driver_id) UNION ALL SELECT m.*, 'r', i, lat, lon FROM mid m JOIN rv USING (rider_id)) t),
+  leg0 AS (SELECT a.*, b.x AS wx, b.y AS wy, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS len FROM flat a
+    JOIN flat b ON a.driver_id = b.driver_id AND a.rider_id = b.rider_id AND a.side = b.side AND b.i = a.i + 1),
+  leg1 AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY driver_id, rider_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS passed,
+    sum(len) OVER (PARTITION BY driver_id, rider_id, side) AS total, max(i) OVER (PARTITION BY driver_id, rider_id, side) AS top FROM leg0),
+  leg AS MATERIALIZED (SELECT *, CAST(least(2048, greatest(2, ceil(total/0.1e0) + 1)) AS BIGINT) AS n FROM leg1),
+  dots AS (SELECT *, x + (wx - x)*(total*j/(n - 1e0) - passed)/len AS px, y + (wy - y)*(total*j/(n - 1e0) - passed)/len AS py FROM (
+    SELECT *, unnest(range(CASE WHEN i = 0 THEN 0 ELSE CAST(floor(passed*(n - 1e0)/total + 1e-9) AS BIGINT) + 1 END,
+      CASE WHEN i = top THEN n ELSE CAST(floor((passed + len)*(n - 1e0)/total + 1e-9) AS BIGINT) + 1 END)) AS j FROM leg) t),
+  near AS (SELECT driver_id, rider_id, side, j, min(pow(px - x - u*(wx - x), 2) + pow(py - y - u*(wy - y), 2)) AS dd FROM (
+    SELECT d.driver_id, d.rider_id, d.side, d.j, px, py, g.x, g.y, g.wx, g.wy,
+      greatest(0e0, least(1e0, ((px - g.x)*(g.wx - g.x) + (py - g.y)*(g.wy - g.y))/(g.len*g.len))) AS u
+    FROM dots d JOIN leg g ON g.driver_id = d.driver_id AND g.rider_id = d.rider_id AND g.side <> d.side) t GROUP BY driver_id, rider_id, side, j),
+  sim AS (SELECT driver_id, rider_id, avg(share) AS route_sim FROM (SELECT driver_id, rider_id, side, avg(CASE WHEN sqrt(dd) <= 0.5e0 + 1e-10 THEN 1e0 ELSE 0e0 END) AS share
+    FROM near GROUP BY driver_id, rider_id, side) t GROUP BY driver_id, rider_id)"""
+
+_BENT_SCORED = (
+    _bent_features_sql(2, 3, 30) + "," + _BENT_SIM_SQL + ", feat AS (SELECT bent0.*, route_sim FROM bent0 JOIN sim USING (driver_id, rider_id)), "
+    + q.GATED.format(src="feat") + f", scored AS (SELECT *, CAST(round(CAST({q.RAW} AS DECIMAL(20,8)), 2) AS DOUBLE) AS score FROM gated)")
+
+
+@query("j3_bent_features", _BENT_SCORED + " SELECT driver_id, rider_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in _FEATURE_COLUMNS) + " FROM scored")
+def j3_bent(spark, sf):
+    f = routes.bent_pair_features(bent_pairs(spark, sf))
+    return f.select("driver_id", "rider_id", *[F.round(c, 6).alias(c) for c in _FEATURE_COLUMNS])
+
+
+@query("j5_bent_gates", _bent_features_sql(3, 4.5, 40) + ", " + q.GATED.format(src="bent0") + " SELECT driver_id, rider_id, ok_detour, eligible FROM gated")
+def j5_bent(spark, sf):
+    f = routes.bent_pair_features(bent_pairs(spark, sf, 3.0, 4.5, 40.0), similarity=False)
+    return gates.with_gates(f).select("driver_id", "rider_id", "ok_detour", "eligible")
+
+
+@query("j10_bent_top3", _BENT_SCORED + """ SELECT rider_id, driver_id, score, rank FROM (SELECT *, row_number() OVER
+  (PARTITION BY rider_id ORDER BY score DESC, driver_id) AS rank FROM scored WHERE eligible) t WHERE rank <= 3""")
+def j10_bent(spark, sf):
+    best = rank.rank_eligible(bent_scored(spark, sf), 3)
+    return best.select("rider_id", "driver_id", "score", F.col("rank").cast("bigint").alias("rank"))
