@@ -253,3 +253,33 @@ def heldout_labels(pairs: DataFrame, detour_tol: Column, shape_tol: Column, reli
     shape = F.greatest(F.lit(0.0), F.least(F.lit(1.0), c("route_sim") / shape_tol))
     p = F.greatest(F.lit(0.01), F.least(F.lit(0.97), (0.02 + 0.94 / (1.0 + F.exp(-logit))) * shape))
     return pairs.withColumn("probability", p).withColumn("relevant", draw < c("probability"))
+
+
+def congestion_report(pairs: DataFrame, by: str = "scenario", k: int = 3) -> DataFrame:
+    """One row per congestion scenario: travel time, delay, feasibility, and how rankings move against free flow.
+
+    ``pairs``: rider_id, driver_id, static and dynamic ``score``, ``dynamic_feasible``, ``static_detour_s``, ``dynamic_detour_s``,
+    ``static_pick_s``, ``pick_s``, ``direct_s``. A pair with a null cost is unreachable and left out of the means of seconds,
+    which are over values of one decimal; the delay is that of the pickup leg against the fastest route at free flow. A rider without a choice has precision 0. A mean over nothing is 0.
+    """
+    c = F.col
+    tenth = lambda x: F.round(x, 1)
+    reached = c("static_detour_s").isNotNull() & c("dynamic_detour_s").isNotNull() & c("direct_s").isNotNull() & c("pick_s").isNotNull()
+    mean = lambda x: F.coalesce(F.round(F.avg(x), 1), F.lit(0.0))
+    seconds = pairs.groupBy(by).agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_if("dynamic_feasible").alias("feasible_pairs"),
+        mean(F.when(reached, tenth(c("direct_s")))).alias("mean_travel_s"),
+        mean(F.when(reached, tenth(c("pick_s") - c("static_pick_s")))).alias("mean_delay_s"),
+        mean(F.when(reached, F.abs(tenth(c("dynamic_detour_s")) - tenth(c("static_detour_s"))))).alias("mean_eta_error_s"))
+    first = lambda t: F.max(F.when(c(f"{t}_score") > 0, F.struct(f"{t}_score", (-c("driver_id")).alias("d"), "dynamic_detour_s")))
+    riders = pairs.groupBy(by, "rider_id").agg(
+        F.count_if("dynamic_feasible").alias("_relevant"), F.count_if(c("dynamic_score") > 0).alias("_ranked"), first("static").alias("_s"), first("dynamic").alias("_d"))
+    # all ranked drivers are feasible, so the first min(k, ranked) places are hits
+    shown = F.least(c("_ranked"), F.lit(k))
+    ideal = _ideal(c("_relevant"), k)
+    ranks = riders.groupBy(by).agg(
+        F.round(F.avg(F.when(F.equal_null(c("_s.d"), c("_d.d")), 0.0).otherwise(1.0)), 3).alias("top1_change_rate"),
+        F.round(F.avg((c("_ranked") > 0).cast("double")), 3).alias("p1"), F.round(F.avg(shown / float(k)), 3).alias("p3"),
+        F.round(F.avg(F.when(ideal > 0, _ideal(shown, k) / ideal).otherwise(0.0)), 3).alias("ndcg3"),
+        mean(tenth(c("_d.dynamic_detour_s"))).alias("mean_selected_detour_s"))
+    return seconds.join(ranks, by)

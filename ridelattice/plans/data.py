@@ -79,7 +79,18 @@ def s5(spark, sf):
     return spark.read.option("header", True).schema("status string, bookings bigint").csv(f"{path}/metrics")
 
 
-@query("s6_run_manifest")
+def _print_sql(name: str, columns: str) -> str:
+    """Columns of a table in order of their names; those with a dot in front are fractions."""
+    text = lambda c: f"coalesce(printf('%.6f', {c[1:]}), '\\N')" if c[0] == "." else f"coalesce(CAST({c} AS VARCHAR), '\\N')"
+    row = "concat_ws('|', " + ", ".join(text(c) for c in columns.split()) + ")"
+    return (f"SELECT '{name}' AS dataset, 'standard limits' AS config, '42' AS seeds, n AS rows, sha256(n || ':' || h) AS sha256 FROM (SELECT count(*) AS n, "
+            f"coalesce(sum(CAST(CAST('0x' || substr(sha256({row}), 1, 15) AS BIGINT) AS HUGEINT)), 0) AS h FROM {name}) t")
+
+
+@query("s6_run_manifest", with_clause("riders", "drivers", "nodes", "edges") + " " + " UNION ALL ".join(_print_sql(*t) for t in (
+    ("riders", "city .d_lat .d_lon dep_s identity_ok .o_lat .o_lon rider_id seats"),
+    ("drivers", "capacity city .d_lat .d_lon dep_s driver_id identity_ok .o_lat .o_lon safety_flag vehicle_ok"),
+    ("nodes", "c k .lat .lon name node r town"), ("edges", ".km .kmh .secs u u_name v v_name"))))
 def s6(spark, sf):
     return readers.manifest({n: fixture(spark, sf, n) for n in ("riders", "drivers", "nodes", "edges")}, "standard limits", "42")
 

@@ -9,7 +9,8 @@ from ridelattice.operators import evaluate, gates, network, pairs, pruning, rank
 from ridelattice.plans import sqltext as q
 from ridelattice.plans.matching import standard_scored
 from ridelattice.plans.network import (
-    _KEPT_SQL, _ROADS, _SCORES_SQL, CONGESTED_SQL, THRESHOLDS, _report_sql, congested_pairs, kept, once, report, report_scores, road_batch,
+    _KEPT_SQL, _ROADS, _SCORES_SQL, CONGESTED_SQL, THRESHOLDS, _cong_score, _direction_sql, _report_sql, _roads, _vc_sql, bellman_ford, congested_pairs, kept, once, report,
+    report_scores, road_batch,
 )
 from ridelattice.functions import congestion
 from ridelattice.plans.registry import query
@@ -191,6 +192,54 @@ def e7_congestion(spark, sf):
     return total.withColumn("top1_change_rate", changed.scalar())
 
 
+_SCENARIOS = tuple(congestion.SCENARIO_SCALE)
+
+
+def scenario_pairs(spark, sf) -> DataFrame:
+    """Road pairs under every congestion scenario at 08:30, with both scores."""
+    each = F.explode(F.array(*[F.lit(n) for n in _SCENARIOS])).alias("scenario")
+    e = fixture(spark, sf, "edges").withColumn("_dir", congestion.edge_direction(F.col("u_name"), F.col("v_name"))).select("*", each)
+    e = e.withColumn("secs", congestion.link_seconds(F.col("secs"), F.lit(8.5), F.col("_dir"), F.col("scenario")))
+    table = network.od_costs(e, fixture(spark, sf, "nodes").select("node", each), variant="scenario")
+    p = road_batch(spark, sf).select(
+        "rider_id", "driver_id", "v_o_node", "v_d_node", "r_o_node", "r_d_node", "road_pickup_km", "dep_diff_min", "direction_sim",
+        F.col("detour_km").alias("static_detour_km"), F.col("detour_s").alias("static_detour_s"), F.col("pick_s").alias("static_pick_s"))
+    p = pruning.congested_scores(p, THRESHOLDS, "static").select("*", each)
+    p = network.with_road_detour(p, table, "v_o_node", "v_d_node", "r_o_node", "r_d_node", variant="scenario")
+    p = pruning.congested_scores(p.withColumnsRenamed({"detour_km": "dynamic_detour_km", "detour_s": "dynamic_detour_s"}), THRESHOLDS, "dynamic")
+    return p.select("scenario", "rider_id", "driver_id", "static_score", "dynamic_feasible", "dynamic_score",
+                    "static_detour_s", "dynamic_detour_s", "static_pick_s", "pick_s", "direct_s")
+
+
+def _scenarios_sql() -> str:
+    """Costs by relaxation per scenario, ranks by window, gains summed place by place."""
+    parts, union = [], []
+    for i, (name, scale) in enumerate(congestion.SCENARIO_SCALE.items()):
+        parts.append(f"ed{i} AS (SELECT u, v, km, secs*least(5e0, greatest(1e0, 1e0 + 0.15e0*pow(({_vc_sql('8.5e0', 'direction')})*{scale}e0, 4e0))) AS secs "
+                     f"FROM (SELECT *, {_direction_sql()} AS direction FROM edges) x)")
+        parts += [bellman_ford(f"ed{i}", 12, f"od{i}", f"w{i}_"), _roads(f"od{i}", "feat0", f"rd{i}_")]
+        union.append(f"SELECT '{name}' AS scenario, a.*, a.detour_km AS static_km, a.detour_s AS static_s, b.detour_km AS dynamic_km, b.detour_s AS dynamic_s, "
+                     f"a.pick_s AS free_pick, b.pick_s AS busy_pick, b.direct_s AS busy_direct FROM roads a JOIN rd{i}_ b USING (driver_id, rider_id)")
+    rk = lambda t: f"CASE WHEN {t}_score > 0 THEN row_number() OVER (PARTITION BY scenario, rider_id ORDER BY {t}_score DESC, driver_id) END AS {t}_rk"
+    return _ROADS + ", " + ", ".join(parts) + f""", allof AS (SELECT *, {_cong_score('static')}, {_cong_score('dynamic')} FROM ({' UNION ALL '.join(union)}) t),
+  ranked AS MATERIALIZED (SELECT *, {rk('static')}, {rk('dynamic')}, static_s + dynamic_s + busy_pick + busy_direct IS NOT NULL AS reached FROM allof),
+  sec AS (SELECT scenario, count(*) AS pairs, count(*) FILTER (dynamic_feasible) AS feasible_pairs, coalesce(round(avg(round(busy_direct, 1)) FILTER (reached), 1), 0e0) AS mean_travel_s,
+    coalesce(round(avg(round(busy_pick - free_pick, 1)) FILTER (reached), 1), 0e0) AS mean_delay_s,
+    coalesce(round(avg(abs(round(dynamic_s, 1) - round(static_s, 1))) FILTER (reached), 1), 0e0) AS mean_eta_error_s FROM ranked GROUP BY scenario),
+  per AS (SELECT scenario, rider_id, max(driver_id) FILTER (static_rk = 1) AS s1, max(driver_id) FILTER (dynamic_rk = 1) AS d1, max(dynamic_s) FILTER (dynamic_rk = 1) AS sel,
+    count(*) FILTER (dynamic_rk = 1) AS h1, count(*) FILTER (dynamic_rk <= 3) AS h3, coalesce(sum(1e0/log2(dynamic_rk + 1e0)) FILTER (dynamic_rk <= 3), 0e0) AS dcg,
+    count(*) FILTER (dynamic_feasible) AS rel FROM ranked GROUP BY scenario, rider_id),
+  agg AS (SELECT scenario, round(avg(CASE WHEN s1 IS DISTINCT FROM d1 THEN 1e0 ELSE 0e0 END), 3) AS top1_change_rate, round(avg(h1), 3) AS p1, round(avg(h3/3e0), 3) AS p3,
+    round(avg(CASE WHEN rel = 0 THEN 0e0 WHEN rel = 1 THEN dcg WHEN rel = 2 THEN dcg/(1e0 + 1e0/log2(3e0)) ELSE dcg/(1.5e0 + 1e0/log2(3e0)) END), 3) AS ndcg3,
+    coalesce(round(avg(round(sel, 1)), 1), 0e0) AS mean_selected_detour_s FROM per GROUP BY scenario)
+  SELECT * FROM sec JOIN agg USING (scenario)"""
+
+
+@query("e7_congestion_scenarios", _scenarios_sql())
+def e7_scenarios(spark, sf):
+    return evaluate.congestion_report(cut_lineage(scenario_pairs(spark, sf)))
+
+
 OFFSETS = (-30, -15, -10, -5, 0, 5, 10, 15, 30)
 
 

@@ -95,8 +95,18 @@ def write_artefacts(tables: dict[str, DataFrame], folder: str, fmt: str = "csv")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint: row count and SHA-256 over count and summed row hashes."""
-    h = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(F.struct(*sorted(df.columns))).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("_h"))
+    """Order-free fingerprint: row count and SHA-256 over the count and the sum of row digests.
+
+    A row's text holds its columns in order of their names, joined by ``|``: null is ``\\N``, fractions have six decimals. Its digest
+    is the first 15 hex digits of the text's SHA-256 as an integer, so rows found twice count twice. An empty table sums to 0.
+    """
+    def text(f) -> Column:
+        fraction = f.dataType.typeName() in ("double", "float")
+        return F.coalesce(F.format_string("%.6f", F.col(f.name)) if fraction else F.col(f.name).cast("string"), F.lit("\\N"))
+
+    row = F.concat_ws("|", *[text(f) for f in sorted(df.schema.fields, key=lambda f: f.name)])
+    digest = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    h = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(digest), F.lit(0).cast("decimal(38,0)")).alias("_h"))
     return h.select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), F.col("_h").cast("string")), 256).alias("sha256"))
 
 
