@@ -126,3 +126,27 @@ def test_a_trip_takes_a_second_later_rider(spark):
     got = {(x["b"], x["rider_id"]): x["stops"] for x in spark.read.option("basePath", out).parquet(f"{out}/b=*").collect()}
     assert sorted(got) == [(0, 60), (1, 61)]
     assert sorted(map(int, got[1, 61].split(">"))) == [1, 2, 3, 4, 5, 6]
+
+
+def test_a_request_waits_for_a_trip(spark):
+    """Two requests want the only trip, which takes one a tick; who is still patient gets in at the next tick, the other does not."""
+    nodes = spark.createDataFrame([(i, 31.0, 75.0 + i / 100) for i in range(8)], "node int, lat double, lon double")
+    od = spark.createDataFrame([(a, b, abs(a - b) * 1.0, abs(a - b) * 60.0) for a in range(8) for b in range(8) if a != b], "src int, dst int, km double, s double")
+    trips = spark.createDataFrame(
+        [(1, 0, 4, 0, 7, [(50, 1, 6, 1)], [1, 2], 0)],
+        "driver_id bigint, town int, capacity int, v_o int, v_d int, riders array<struct<rider_id:bigint,r_o:int,r_d:int,seats:int>>, stops array<int>, dep_s bigint")
+    far = 5_000  # too late for the trip: only moves the clock
+    asked = [(60, 0, 2, 5, 1, 0, 900), (61, 0, 3, 4, 1, 0, 900), (62, 0, 3, 4, 1, 0, 100), (63, 0, 3, 4, 1, 500, 0), (64, 0, 3, 4, 1, far, 900), (64, 0, 3, 4, 1, far, 900)]
+    r = spark.createDataFrame(asked, "rider_id bigint, town int, o_node int, d_node int, seats int, dep_s bigint, patience_s bigint")
+    path = None
+    for part in ("dep_s = 0", "dep_s = 500", f"dep_s = {far}"):
+        rows = r.filter(part).coalesce(1)
+        path = path or run.write_source(rows, 1)
+        if part != "dep_s = 0":
+            rows.write.mode("append").parquet(path)
+    out = jobs.insertion_ticks(run.stream(spark, path, r, 1), trips, nodes, od, {"detour_km": 15.0, "detour_time_s": 900.0}, 8.0)
+    got = sorted((x["b"], x["rider_id"]) for x in spark.read.option("basePath", out).parquet(f"{out}/b=*").collect())
+    riders = [rider for _, rider in got]
+    assert len(riders) == len(set(riders)) and [b for b, _ in got] == [0, 1]
+    first, second = riders
+    assert first in (60, 61, 62) and second in {60, 61, 63} - {first}, "62 had no patience left at the second tick"
