@@ -93,3 +93,21 @@ def test_late_rows_are_dropped(spark):
     out = jobs.tick_windows(run.stream(spark, path, first, 1)).select(F.col("w.start").alias("tick"), "requests")
     got = {str(r.tick): r.requests for r in run.latest_updates(out, spark, ["tick"]).collect()}
     assert got == {"2026-01-01 00:00:00": 1, "2026-01-01 01:00:00": 2}
+
+
+def test_congestion_report_by_hand(spark):
+    """Two riders: the first changes its choice, the second has none; one pair is unreachable; equal scores go to the smaller id."""
+    from ridelattice.operators import evaluate
+
+    rows = [
+        ("busy", 1, 10, 50.0, True, 40.0, 100.0, 160.0, 30.0, 50.0, 300.0),
+        ("busy", 1, 11, 50.0, True, 60.0, 100.0, 120.0, 30.0, 40.0, 500.0),
+        ("busy", 2, 12, 0.0, False, 0.0, None, None, None, None, None),
+    ]
+    names = ("scenario string, rider_id bigint, driver_id bigint, static_score double, dynamic_feasible boolean, dynamic_score double, static_detour_s double, "
+             "dynamic_detour_s double, static_pick_s double, pick_s double, direct_s double")
+    got = evaluate.congestion_report(spark.createDataFrame(rows, names)).first().asDict()
+    assert got == {
+        "scenario": "busy", "pairs": 3, "feasible_pairs": 2, "mean_travel_s": 400.0, "mean_delay_s": 15.0, "mean_eta_error_s": 40.0,
+        "top1_change_rate": 0.5, "p1": 0.5, "p3": 0.333, "ndcg3": 0.5, "mean_selected_detour_s": 120.0}
+    assert evaluate.congestion_report(spark.createDataFrame([], names)).count() == 0
