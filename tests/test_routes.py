@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridelattice.operators import gates, routes
+from ridelattice.operators.pairs import road_features
 from tests.test_geometry import hav, insertion, similarity
 
 POINTS = "array<struct<lat:double,lon:double>>"
@@ -69,3 +70,15 @@ def test_a_bend_decides_a_gate(spark):
     f = frame(spark, [(via, rider), ([via[0], via[-1]], rider)]).withColumns(flags)
     ok = {r.rider_id: r.ok_detour for r in gates.with_gates(routes.bent_pair_features(f)).collect()}
     assert ok == {0: True, 1: False}
+
+
+def test_road_features_fall_back_to_the_bent_detour(spark):
+    """Without a road route the detour is the insertion on the polyline; with one it is that of the roads."""
+    v, r = [(31.0, 75.0), (31.1, 75.1), (31.2, 75.0)], [(31.05, 75.06), (31.1, 75.08)]
+    f = routes.bent_pair_features(frame(spark, [(v, r), (v, r)]), similarity=False)
+    riders = spark.createDataFrame([(1, 3, 4)], "rider_id bigint, o_node bigint, d_node bigint")
+    drivers = spark.createDataFrame([(101, 1, 2)], "driver_id bigint, o_node bigint, d_node bigint")
+    od = spark.createDataFrame([(1, 2, 30.0, 1800.0), (1, 3, 10.0, 600.0), (3, 4, 9.0, 500.0), (4, 2, 14.0, 900.0)], "src bigint, dst bigint, km double, s double")
+    got = {x.rider_id: x for x in road_features(f, riders, drivers, od).collect()}
+    assert got[0].detour_km == pytest.approx(insertion(v, r[0], r[-1])) and got[0].detour_seconds == 0.0
+    assert got[1].detour_km == 3.0 and got[1].detour_seconds == 200.0 and got[1].pickup_km == 10.0
