@@ -113,6 +113,23 @@ def od_paths(od: DataFrame) -> DataFrame:
             "src", "dst", F.col("_h").alias("head"), F.concat("_p", "path").alias("path"), F.col("_d").alias("done")))
 
 
+def path_edges(wanted: DataFrame, od: DataFrame) -> DataFrame:
+    """Edges of the cheapest routes of the wanted ``(src, dst)`` pairs only: ``(src, dst, seq, u, v)``, seq from 1.
+
+    Predecessors are followed from all ends at once, one edge a round; a pair leaves at its start. Pairs without a
+    route and pairs of one node have no edges.
+    """
+    back = cut_lineage(od.filter(F.col("pred").isNotNull()).select("src", F.col("dst").alias("v"), F.col("pred").alias("u"), F.col("hops").alias("seq")))
+    at = wanted.select("src", "dst").distinct().withColumn("v", F.col("dst"))
+    out = None
+    while True:
+        found = cut_lineage(at.join(back, ["src", "v"]).select("src", "dst", "seq", "u", "v"))
+        out = found if out is None else out.unionByName(found)
+        at = found.filter(F.col("u") != F.col("src")).select("src", "dst", F.col("u").alias("v"))
+        if at.isEmpty():
+            return out
+
+
 def route_via(stops: DataFrame, od: DataFrame, trip: str = "trip_id", order: str = "stop_no", node: str = "node") -> DataFrame:
     """Sum of legs through ordered stops per trip; a trip with an unreachable leg is absent."""
     w = Window.partitionBy(trip).orderBy(order)
@@ -189,6 +206,7 @@ def ranked_element(df: DataFrame, keys: list[str], value: str, fraction: float,
 
 
 INCIDENT_BUCKET_S = 900
+DEPARTURE_BLOCK_S = 6 * 3600
 
 
 def incident_effect(df: DataFrame, incidents: DataFrame, ids: list[str], u: str, v: str, at: str) -> DataFrame:
@@ -220,39 +238,57 @@ def active_edges(edges: DataFrame, incidents: DataFrame, at_s: Column) -> DataFr
 
 def earliest_arrival(
     edges: DataFrame, starts: DataFrame, scenario: str = "no_congestion", incidents: DataFrame | None = None,
-    clock_start_hour: float = 8.0, max_s: float | None = None, max_rounds: int = 200,
+    clock_start_hour: float = 8.0, max_s: float | None = None, max_rounds: int = 200, hops_per_round: int = 4,
 ) -> DataFrame:
     """Time-dependent arrival per (start node, departure): ``(src, depart_s, dst, arrive_s, km, ff_s)``.
 
     Costs depend on the moment an edge is entered and may fall with time, so a
-    label is recomputed from its predecessors every round instead of kept as a
-    minimum; the loop ends when a round changes nothing.
+    label is recomputed from its predecessors every hop instead of kept as a
+    minimum. Costs are positive, so the n earliest labels are final after n hops;
+    labels that a round of hops leaves as they were are therefore final, and the loop ends.
+    Edges lie by start node and block of departures, each with the incidents that a departure of the block can meet (within
+    ``max_s``, which bounds the list), and labels are dealt to tasks the same way: a hop is one shuffle.
     """
-    e = edges.select("u", "v", F.col("km").alias("_km"), F.col("secs").alias("_s"), congestion.edge_direction(F.col("u_name"), F.col("v_name")).alias("_dir"))
-    e = cut_lineage(e)
+    c = F.col
+    size = DEPARTURE_BLOCK_S
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = starts.select(c("node").alias("src"), c("depart_s").cast("double").alias("depart_s"), F.floor(c("depart_s") / size).alias("_block")).distinct()
+    base = cut_lineage(base.select("src", "depart_s", "_block", c("src").alias("dst"), c("depart_s").alias("arrive_s"), F.lit(0.0).alias("km"), F.lit(0.0).alias("ff_s")))
+    first, last = base.agg(F.min("_block"), F.max("_block")).first()
+    e = edges.select("u", "v", c("km").alias("_km"), c("secs").alias("_s"), congestion.edge_direction(c("u_name"), c("v_name")).alias("_dir"))
+    e = e.withColumn("_block", F.explode(F.sequence(F.lit(first or 0), F.lit(last or 0))))
     if incidents is not None:
-        incidents = cut_lineage(incidents)
-    base = starts.select(F.col("node").alias("src"), F.col("depart_s").cast("double").alias("depart_s")).distinct()
-    base = base.select("src", "depart_s", F.col("src").alias("dst"), F.col("depart_s").alias("arrive_s"), F.lit(0.0).alias("km"), F.lit(0.0).alias("ff_s"))
-    base = cut_lineage(base)
-    labels, seen = base, None
-    for _ in range(max_rounds):
-        hop = labels.join(e, F.col("dst") == F.col("u"))
-        hour = F.lit(clock_start_hour) + F.col("arrive_s") / 3600.0
-        cost = congestion.link_seconds(F.col("_s"), F.pmod(hour, F.lit(24.0)), F.col("_dir"), scenario)
-        hop = hop.withColumn("_cost", cost)
+        # the blocks whose departures are on the road before the end of an incident and, within the limit, after its start
+        begin = F.lit(first or 0) if max_s is None else F.greatest(F.lit(first or 0), F.floor((c("t_start") - max_s) / size))
+        until = F.least(F.lit(last or 0), F.floor(c("t_end") / size))
+        i = incidents.withColumn("_block", F.explode(F.filter(F.sequence(begin, F.greatest(begin, until)), lambda x: x <= until)))
+        listed = i.groupBy("u", "v", "_block").agg(F.collect_list(F.struct("t_start", "t_end", "reduction", "closed")).alias("_inc"))
+        e = e.join(listed, ["u", "v", "_block"], "left")
+    e = cut_lineage(e.repartition(parts, "u", "_block"))
+
+    def hop_once(labels: DataFrame) -> DataFrame:
+        hop = labels.join(e.withColumnRenamed("_block", "_eblock"), (c("dst") == c("u")) & (c("_block") == c("_eblock")))
+        hour = F.lit(clock_start_hour) + c("arrive_s") / 3600.0
+        cost = congestion.link_seconds(c("_s"), F.pmod(hour, F.lit(24.0)), c("_dir"), scenario)
         if incidents is not None:
-            hop = incident_effect(hop, incidents, ["src", "depart_s", "u", "v"], "u", "v", "arrive_s")
-            hop = hop.filter(~F.col("closed_now")).withColumn("_cost", F.col("_cost") * F.col("delay_factor"))
-        hop = hop.select("src", "depart_s", F.col("v").alias("dst"), (F.col("arrive_s") + F.col("_cost")).alias("arrive_s"),
-                         (F.col("km") + F.col("_km")).alias("km"), (F.col("ff_s") + F.col("_s")).alias("ff_s")).filter(F.col("dst") != F.col("src"))
+            now = F.filter(F.coalesce("_inc", F.array()), lambda x: (x["t_start"] <= c("arrive_s")) & (c("arrive_s") < x["t_end"]))
+            hop = hop.withColumn("_now", now).filter(~F.exists("_now", lambda x: x["closed"]))
+            cost = cost * F.aggregate("_now", F.lit(1.0), lambda m, x: F.greatest(m, 1.0 + congestion.INCIDENT_DELAY * x["reduction"]))
+        hop = hop.select("src", "depart_s", "_block", c("v").alias("dst"), (c("arrive_s") + cost).alias("arrive_s"),
+                         (c("km") + c("_km")).alias("km"), (c("ff_s") + c("_s")).alias("ff_s")).filter(c("dst") != c("src"))
         if max_s is not None:
-            hop = hop.filter(F.col("arrive_s") - F.col("depart_s") <= max_s)
-        best = hop.groupBy("src", "depart_s", "dst").agg(F.min(F.struct("arrive_s", "km", "ff_s")).alias("l")).select("src", "depart_s", "dst", "l.*")
-        labels = cut_lineage(base.unionByName(best))
+            hop = hop.filter(c("arrive_s") - c("depart_s") <= max_s)
+        spread = base.unionByName(hop).repartition(parts, "dst", "_block")
+        return spread.groupBy("src", "depart_s", "_block", "dst").agg(F.min(F.struct("arrive_s", "km", "ff_s")).alias("l")).select("src", "depart_s", "_block", "dst", "l.*")
+
+    labels, seen = base, None
+    for _ in range(max_rounds):
+        for _ in range(hops_per_round):
+            labels = hop_once(labels)
+        labels = cut_lineage(labels)
         mark = tuple(labels.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("src", "depart_s", "dst", "arrive_s").cast("decimal(38,0)"))).first())
         if mark == seen:
-            return labels
+            return labels.drop("_block")
         seen = mark
     raise RuntimeError("arrival times did not settle; raise max_rounds")

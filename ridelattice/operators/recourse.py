@@ -15,6 +15,8 @@ DWELL_CV = 0.35
 DWELL_MIN_S = 5.0
 DWELL_MAX_FACTOR = 3.0
 
+SLICE_S = 900  # incidents are joined on edge and slices of this length
+
 
 def hashed_uniform(*parts: Column | str) -> Column:
     """Uniform in (0, 1) from the first 52 bits of the ids' MD5: the same for the same ids, in any engine and partitioning."""
@@ -32,10 +34,29 @@ def dwell_seconds(kind: Column, u1: Column, u2: Column) -> Column:
 
 
 def affected_trips(trip_edges: DataFrame, incidents: DataFrame, at: str = "dep_s") -> DataFrame:
-    """Trips whose planned edges meet an incident active at departure."""
-    i = incidents.select("u", "v", "t_start", "t_end")
-    live = trip_edges.join(i, ["u", "v"]).filter((F.col("t_start") <= F.col(at)) & (F.col(at) < F.col("t_end")))
-    return live.select("trip_id").distinct()
+    """Trips whose planned edges meet an incident active at departure.
+
+    Incidents are repeated into the time slices they cover, so an edge's whole history never meets in one task.
+    """
+    size = SLICE_S
+    i = incidents.select("u", "v", "t_start", "t_end", F.explode(F.sequence(F.floor(F.col("t_start") / size), F.floor(F.col("t_end") / size))).alias("_slice"))
+    live = trip_edges.withColumn("_slice", F.floor(F.col(at) / size)).join(i, ["u", "v", "_slice"])
+    return live.filter((F.col("t_start") <= F.col(at)) & (F.col(at) < F.col("t_end"))).select("trip_id").distinct()
+
+
+def edges_under_incidents(trip_edges: DataFrame, incidents: DataFrame, max_s: float = 6 * 3600.0) -> DataFrame:
+    """Planned edges beside each incident that can overlap the trip's span of ``max_s`` seconds.
+
+    Joined on edge and time slice: a span covers two slices, an incident those of its duration, and a match counts in
+    the first slice that both share.
+    """
+    first = lambda c: F.floor(F.col(c) / max_s)
+    e = trip_edges.select("trip_id", "seq", "u", "v", "dep_s", first("dep_s").alias("_from"))
+    e = e.withColumn("_slice", F.explode(F.array(F.col("_from"), F.col("_from") + 1)))
+    i = incidents.select("u", "v", "t_start", "t_end", "reduction", "closed", first("t_start").alias("_ifrom"))
+    i = i.withColumn("_slice", F.explode(F.sequence("_ifrom", first("t_end"))))
+    near = e.join(i, ["u", "v", "_slice"]).filter(F.col("_slice") == F.greatest("_from", "_ifrom"))
+    return near.filter((F.col("t_start") < F.col("dep_s") + max_s) & (F.col("t_end") > F.col("dep_s"))).drop("_slice", "_from", "_ifrom")
 
 
 def realised_trips(trip_edges: DataFrame, edges: DataFrame, incidents: DataFrame, max_s: float = 6 * 3600.0) -> DataFrame:
@@ -45,9 +66,7 @@ def realised_trips(trip_edges: DataFrame, edges: DataFrame, incidents: DataFrame
     order. Only incidents that can overlap the trip's time span are attached to an edge.
     """
     e = trip_edges.join(edges.select("u", "v", "km", "secs"), ["u", "v"])
-    i = incidents.select("u", "v", "t_start", "t_end", "reduction", "closed")
-    span = (F.col("t_start") < F.col("dep_s") + max_s) & (F.col("t_end") > F.col("dep_s"))
-    near = e.select("trip_id", "seq", "u", "v", "dep_s").join(i, ["u", "v"]).filter(span)
+    near = edges_under_incidents(e, incidents, max_s)
     near = near.groupBy("trip_id", "seq").agg(F.collect_list(F.struct("t_start", "t_end", "reduction", "closed")).alias("inc"))
     e = e.join(near, ["trip_id", "seq"], "left")
     trips = e.groupBy("trip_id", "dep_s").agg(F.array_sort(F.collect_list(F.struct("seq", "km", "secs", "inc"))).alias("path"))

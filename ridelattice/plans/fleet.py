@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelattice.operators import assign, dispatch, network, pairs, pool, recourse
+from ridelattice.operators import assign, dispatch, network, pairs, pool, recourse, replan
 from ridelattice.plans import sqltext as q
 from ridelattice.plans.matching import standard_scored
 from ridelattice.plans.network import _CONG_OD, _OD, congested_od, od, once
@@ -349,18 +349,51 @@ def i2(spark, sf):
     return r.select("trip_id", F.round("km", 4).alias("km"), F.round("s", 2).alias("s"), "closed")
 
 
+def planned_trips(spark, sf) -> DataFrame:
+    """Trips that share no rider, in their best order at free flow, with departure and the driver's own road."""
+    best = cut_lineage(pool.best_orders(pool.with_leg_costs(admissible_pools(spark, sf), od(spark, sf)), POOL_LIMITS, 3).select(
+        "driver_id", "pool_id", "v_o", "v_d", "riders", "k", "capacity", "objective", "order_no"))
+    taken = best.join(pool.packed_pools(best).select("pool_id"), "pool_id", "left_semi")
+    own = fixture(spark, sf, "net_drivers").select("driver_id", "dep_s")
+    direct = od(spark, sf).select(F.col("src").alias("v_o"), F.col("dst").alias("v_d"), F.col("km").alias("direct_km"), F.col("s").alias("direct_s"))
+    return taken.withColumn("plan", F.get(pool._orders_column(3), F.col("order_no"))).drop("order_no").join(own, "driver_id").join(direct, ["v_o", "v_d"])
+
+
+def planned_edges(trips: DataFrame, table: DataFrame) -> DataFrame:
+    """Road edges of the planned legs: (pool_id, leg, seq, u, v)."""
+    way = pool.with_points(trips).withColumn("_way", F.concat(F.array(F.lit(0)), F.col("plan"), F.array(F.size("points") - 1)))
+    legs = way.select("pool_id", "points", "_way", F.explode(F.sequence(F.lit(0), F.size("_way") - 2)).alias("leg"))
+    at = lambda i: F.get("points", F.get("_way", i))
+    legs = cut_lineage(legs.select("pool_id", "leg", at(F.col("leg")).alias("src"), at(F.col("leg") + 1).alias("dst")))
+    return legs.join(network.path_edges(legs, table), ["src", "dst"]).select("pool_id", "leg", "seq", "u", "v")
+
+
+def replanned(spark, sf) -> DataFrame:
+    def build():
+        trips = cut_lineage(planned_trips(spark, sf))
+        planned = cut_lineage(planned_edges(trips, od(spark, sf)))
+        return cut_lineage(replan.replan(trips, planned, fixture(spark, sf, "edges"), fixture(spark, sf, "incidents"), POOL_LIMITS))
+
+    return once(spark, sf, "replanned", build)
+
+
 @query("i3_recourse_choice")
 def i3(spark, sf):
-    """Planned stop order against the best order on incident-aware costs; the plan stays when nothing is feasible."""
-    p = cohort_pools(spark, sf, 2)
-    plan = pool.best_pools(pool.evaluate_orders(pool.with_leg_costs(p, od(spark, sf)), POOL_LIMITS, 2), ["driver_id"])
-    plan = cut_lineage(plan.select("driver_id", "capacity", "v_o", "v_d", "riders", "k", "pool_id", F.col("order_no").alias("plan_order")))
-    now = network.active_edges(fixture(spark, sf, "edges"), fixture(spark, sf, "incidents"), F.lit(700)).withColumn("secs", F.col("secs_now"))
-    table = once(spark, sf, "od_incident", lambda: network.od_costs(now, fixture(spark, sf, "nodes")))
-    e = pool.evaluate_orders(pool.with_leg_costs(plan.drop("plan_order"), table), POOL_LIMITS, 2)
-    best = pool.best_pools(e, ["pool_id"]).select("pool_id", F.col("order_no").alias("new_order"), "objective")
-    j = plan.select("driver_id", "pool_id", "plan_order").join(best, "pool_id", "left")
-    return j.select("driver_id", "pool_id", "plan_order", F.coalesce("new_order", "plan_order").alias("chosen_order"), F.coalesce("objective", F.lit(0.0)).alias("objective"))
+    """Stop order of every planned trip after recourse: legs chained by arrival, incidents as they stand on each leg."""
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ">").alias(c)
+    return replanned(spark, sf).select("driver_id", "pool_id", "severity", "triggered", text("plan"), text("chosen"), "nominal_objective", "realised_objective", "recourse_objective", "recourse_feasible")
+
+
+@query("i4_trip_recovery")
+def i4_trips(spark, sf):
+    """Recovered share and regrets of the planned trips."""
+    return recourse.recovery(replanned(spark, sf)).select("pool_id", "severity", "recovery_pct", "static_regret", "recourse_regret")
+
+
+@query("i5_trip_summary")
+def i5_trips(spark, sf):
+    """Planned trips by the heaviest incident on their way, driven as planned and with recourse."""
+    return recourse.summary(recourse.recovery(replanned(spark, sf)), ["severity"])
 
 
 _TRIAL = """trial AS (SELECT rider_id AS trip_id, CASE rider_id % 3 WHEN 0 THEN 'minor' WHEN 1 THEN 'moderate' ELSE 'severe' END AS severity, 40e0 + (rider_id*37) % 600/10e0 AS nominal_objective,
