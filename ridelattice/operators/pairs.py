@@ -2,8 +2,8 @@
 
 The radius join is a grid-cell equi-join: requests carry the cell they lie in,
 drivers are repeated into the few cells their radius touches. Cells and time
-buckets are join keys, so no task ever sees the full product; a crowded cell is
-split over salts whose number follows from its row count.
+buckets are join keys, so no task ever sees the full product; a cell crowded on
+either side is split into blocks whose number follows from both row counts.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def radius_pairs(
     v = v.withColumn("_tb", F.explode(F.sequence(
         F.floor((F.col("v_dep_s") - span) / bucket), F.floor((F.col("v_dep_s") + span) / bucket))))
 
-    r, v = salt_hot_keys(r, v, keys, F.col("rider_id"), hot_rows)
+    r, v = split_into_blocks(r, v, keys, F.col("rider_id"), F.col("driver_id"), hot_rows)
     near_in_time = F.abs(F.col("v_dep_s") - F.col("r_dep_s")) <= minutes * 60.0
     # the shuffle a large join needs anyway; keeps the probe side parallel when the other side is small
     joined = r.repartition(*keys, "_salt").join(v, [*keys, "_salt"]).filter(near_in_time)
@@ -105,21 +105,24 @@ def radius_pairs(
     return joined.withColumn("dest_km", dest).filter(F.col("dest_km") <= dest_km)
 
 
-def salt_hot_keys(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Split keys with more than ``hot_rows`` rows in ``big`` over salts.
+def split_into_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: Column, right_id: Column, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Turn keys with more than ``hot_rows`` rows on either side into a grid of blocks, named by ``_salt``.
 
-    The count is a map-side combined aggregate, and only hot keys survive it;
-    ``small`` is repeated once per salt of its key, so no pair is lost.
+    A side is dealt by its id to as many parts as it has times ``hot_rows`` rows, and repeated once per part of the other
+    side, so each pair meets in exactly one block and a block holds about ``hot_rows`` rows of each side at most. Both sides
+    are counted in one map-side combined aggregate, and only hot keys survive it.
     """
-    hot = (
-        big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
-    )
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    big = big.join(hot, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
-    small = small.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return big, small
+    one, none = F.lit(1), F.lit(0)
+    both = left.select(*keys, one.alias("_l"), none.alias("_r")).unionByName(right.select(*keys, none.alias("_l"), one.alias("_r")))
+    counts = both.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    parts = lambda c: F.greatest(one, F.ceil(F.col(c) / hot_rows).cast("int"))
+    # a key on one side only has no pairs
+    hot = counts.filter((F.least("_l", "_r") > 0) & (F.greatest("_l", "_r") > hot_rows)).select(*keys, parts("_l").alias("_lp"), parts("_r").alias("_rp"))
+    lp, rp = F.coalesce("_lp", one), F.coalesce("_rp", one)
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    left = left.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.transform(F.sequence(none, rp - 1), lambda j: dealt(left_id, lp) * rp + j)))
+    right = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.transform(F.sequence(none, lp - 1), lambda i: i * rp + dealt(right_id, rp))))
+    return left.drop("_lp", "_rp"), right.drop("_lp", "_rp")
 
 
 def pair_features(pairs: DataFrame, tolerance_km: float = 0.5, similarity: bool = True) -> DataFrame:

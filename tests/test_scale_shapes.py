@@ -27,6 +27,28 @@ def test_salted_cells_keep_every_pair(spark):
     assert len(rows(plain)) > 0
 
 
+def test_cells_crowded_with_drivers_become_blocks(spark):
+    """A third of both sides, then of the drivers alone, stands at one spot."""
+    at = lambda df, key: df.withColumns({c: F.when(F.col(key) % 3 == 0, v).otherwise(F.col(c)) for c, v in (("o_lat", 31.2), ("o_lon", 75.5))})
+    r, d = fixture(spark, SF, "riders"), at(fixture(spark, SF, "drivers"), "driver_id")
+    rows = lambda df: sorted(map(tuple, df.select("rider_id", "driver_id").collect()))
+    for riders in (at(r, "rider_id"), r):
+        plain = rows(pairs.radius_pairs(riders, d, hot_rows=10**9))
+        assert plain == rows(pairs.radius_pairs(riders, d, hot_rows=5)) and plain
+
+
+def test_blocks_are_small_and_every_pair_meets_once(spark):
+    left = spark.range(3000).select(F.col("id").alias("a"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
+    right = spark.range(2000).select(F.col("id").alias("b"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
+    right = right.unionByName(spark.range(100).select((F.col("id") + 5000).alias("b"), F.lit(None).cast("bigint").alias("k")))
+    x, y = pairs.split_into_blocks(left, right, ["k"], F.col("a"), F.col("b"), 100)
+    largest = lambda df: df.groupBy("k", "_salt").count().filter("k IS NOT NULL").agg(F.max("count")).first()[0]
+    assert largest(x) < 200 and largest(y) < 200
+    got = x.join(y, ["k", "_salt"]).agg(F.count(F.lit(1)), F.countDistinct("a", "b")).first()
+    want = left.join(right, "k").count()
+    assert tuple(got) == (want, want)
+
+
 def test_running_values_across_buckets(spark):
     rng = random.Random(2)
     rows = [(rng.choice("aab"), i, rng.randrange(1000), rng.randrange(10)) for i in range(400)]
