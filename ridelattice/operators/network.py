@@ -247,7 +247,7 @@ def earliest_arrival(
     minimum. Costs are positive, so the n earliest labels are final after n hops;
     labels that a round of hops leaves as they were are therefore final, and the loop ends.
     Edges lie by start node and block of departures, each with the incidents that a departure of the block can meet (within
-    ``max_s``, which bounds the list), and labels are dealt to tasks the same way: a hop is one shuffle.
+    ``max_s``, which bounds the list), and labels are dealt to tasks the same way.
     """
     c = F.col
     size = DEPARTURE_BLOCK_S
